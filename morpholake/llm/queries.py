@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morpholake.llm import attribution, bpe, packing, pii, simhash, sketch, toxicity
+from morpholake.llm import attribution, bpe, hnsw, packing, pii, simhash, sketch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edit_likeness(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(pii.BASE).cast("binary"), 256).alias("base_sha256"), written(pii.KINDS).alias("spans"), F.aggregate("spans", F.lit(0.0), lambda a, s: F.greatest(a, s["score"])).alias("top_score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_token_counts, op6_fingerprints, op7_simhash, op8_packing, op9_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_token_counts, op4_embedding_dedup, op6_fingerprints, op7_simhash, op8_packing, op9_pii)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,6 +1,6 @@
 """A counterfactually regularised toxicity classifier.
 
-Features are a text's distinct words and word beginnings. A logistic model over the most telling ones is fitted on a
+Features are a text's words and word beginnings, and which of them it has more than once. A logistic model over the most telling ones is fitted on a
 bounded, documented sample of labelled rows. Each labelled text that names a group is also written with the other
 groups' names, and the squared change of the score's logit is penalised, so that naming a group does not by itself
 change the score. Scoring is one narrow pass over whole texts; only the words are looked at.
@@ -26,8 +26,10 @@ from morpholake.llm.blocks import IS_MARK, U64, Block, id_and_text, lanes, mix,
 
 #: Labelled rows that the model is fitted on, at most: those whose ids have the smallest hashes.
 FIT_ROWS = 8000
-FEATURES, ROUNDS, RIDGE, LAMBDA = 1024, 300, 1e-3, 1.0
-BEGINNINGS = (4, 5)  # bytes
+#: Numbers of features among which cross-validation chooses.
+SIZES = (100, 400, 1024)
+FOLDS, ROUNDS, RIDGE, LAMBDA = 3, 150, 1e-4, 1.0
+BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 THRESHOLD = 0.7
 #: Names of groups; within a line they are swapped for each other.
 IDENTITY = (
@@ -46,7 +48,7 @@ _NAMED = re.compile(r"\b(?:" + "|".join(sorted(_LINE, key=len, reverse=True)) +
 
 
 class Model(NamedTuple):
-    features: np.ndarray  # sorted 64-bit hashes
+    features: np.ndarray  # sorted hashes; odd: of what a text has more than once
     weights: np.ndarray
     bias: float
 
@@ -57,7 +59,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word and word beginning, repeats included."""
+    """Hash (even) and row of every word and word beginning, repeats included."""
     w = words(block, IS_MARK)
     row = np.repeat(np.arange(len(block.offsets) - 1), np.diff(w.first))
     size = w.end - w.start
@@ -65,9 +67,15 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     hashes, rows = [span_hashes(w.data, w.start, w.end)], [row]
     for n in BEGINNINGS:
         long = size > n
-        hashes.append(mix((first[long] & U64((1 << (8 * n)) - 1)) + U64(n << 56)))
+        hashes.append(mix(mix(first[long] & U64((1 << (8 * n)) - 1)) + U64(n)))
         rows.append(row[long])
-    return np.concatenate(hashes), np.concatenate(rows)
+    return np.concatenate(hashes) & ~U64(1), np.concatenate(rows)
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """One text's features: each hash once, and its odd neighbour where it occurs again."""
+    once, count = np.unique(hashes, return_counts=True)
+    return np.sort(np.concatenate((once, once[count > 1] | U64(1))))
 
 
 def swapped(text: str, turn: int) -> str:
@@ -85,43 +93,35 @@ def _block(texts: list[str]) -> Block:
     return Block(None, b"".join(data), np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64))
 
 
-def fit(found: list[np.ndarray], changed: list[tuple[int, np.ndarray]], toxic: np.ndarray, size: int = FEATURES, weight: float = LAMBDA) -> Model:
-    """A model from each text's distinct features; changed: text number and its features after a swap."""
-    none = Model(np.zeros(0, dtype=U64), np.zeros(0), 0.0)
-    share = float(toxic.mean()) if len(toxic) else 0.0
-    if not 0 < share < 1:
-        return none._replace(bias=-40.0 if share == 0 else 40.0)
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    names, counts = np.unique(np.concatenate(found), return_counts=True)
+def _lookup(names: np.ndarray, of: list[np.ndarray]) -> np.ndarray:
+    """A row of zeros and ones for each text: which of the sorted names are among its features."""
+    x = np.zeros((len(of), len(names)), dtype=np.float32)
+    for i, f in enumerate(of):
+        at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+        x[i, at[names[at] == f]] = 1
+    return x
+
+
+def _telling(found: list[np.ndarray], toxic: np.ndarray, most: int) -> np.ndarray:
+    """The features whose share among toxic texts differs most surely from that among the others, best first."""
+    names, group, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    in_toxic = np.bincount(group, weights=np.repeat(toxic, [len(f) for f in found]), minlength=len(names))
     often = counts >= 4
-    names, counts = names[often], counts[often]
-    ones, many = np.unique(np.concatenate([f for f, y in zip(found, toxic, strict=True) if y]), return_counts=True)
-    place = np.searchsorted(names, ones)
-    hit = place < len(names)
-    hit[hit] = names[place[hit]] == ones[hit]
-    in_toxic = np.zeros(len(names))
-    in_toxic[place[hit]] = many[hit]
+    names, counts, in_toxic = names[often], counts[often], in_toxic[often]
+    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
     p = counts / len(toxic)
-    telling = np.abs(in_toxic / n1 - (counts - in_toxic) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    best = np.sort(np.argsort(-telling, kind="stable")[:size])
-    names = names[best]
-
-    def rows(of: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(of), len(names)), dtype=np.float32)
-        for i, f in enumerate(of):
-            at = np.searchsorted(names, f)
-            ok = at < len(names)
-            x[i, at[ok][names[at[ok]] == f[ok]]] = 1
-        return x
-
-    x = rows(found)
-    change = rows([f for _, f in changed]) - x[[i for i, _ in changed]] if changed else np.zeros((0, len(names)), dtype=np.float32)
-    w, b = np.zeros(len(names), dtype=np.float32), float(np.log(share / (1 - share)))
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    y = toxic.astype(np.float32)
-    for step in range(1, ROUNDS + 1):  # Adam, all rows at once
-        wrong = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y
-        g = x.T @ wrong / len(y) + RIDGE * w
+    sure = np.abs(in_toxic / n1 - (counts - in_toxic) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    return names[np.argsort(-sure, kind="stable")[:most]]
+
+
+def _descend(x: np.ndarray, toxic: np.ndarray, change: np.ndarray, weight: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model, all rows at once. change: differences of features that a swap makes."""
+    share = float(toxic.mean())
+    w, b = np.zeros(x.shape[1], dtype=np.float32), float(np.log(share / (1 - share)))
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for step in range(1, ROUNDS + 1):
+        wrong = (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - toxic).astype(np.float32)
+        g = x.T @ wrong / len(toxic) + RIDGE * w
         if len(change):
             g += weight * 2 * change.T @ (change @ w) / len(change)
         g = np.append(g, wrong.mean())
@@ -129,7 +129,56 @@ def fit(found: list[np.ndarray], changed: list[tuple[int, np.ndarray]], toxic: n
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[:-1].astype(np.float32)
         b -= float(move[-1])
-    return Model(names, w.astype(np.float64), b)
+    return w, b
+
+
+def _best_cut(logit: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The cut between two scores with the best F1, and that F1."""
+    order = np.argsort(-logit, kind="stable")
+    f1 = 2 * np.cumsum(toxic[order]) / (np.arange(1, len(toxic) + 1) + toxic.sum())
+    k = int(np.argmax(f1))
+    return float(logit[order[k]] + logit[order[min(k + 1, len(order) - 1)]]) / 2, float(f1[k])
+
+
+def fit(found: list[np.ndarray], changed: list[tuple[int, np.ndarray]], toxic: np.ndarray, weight: float = LAMBDA) -> Model:
+    """A model from each text's distinct features; changed: text number and its features after a swap.
+
+    Cross-validation chooses how many features count, and the logit from which on a text is held to be toxic; the bias
+    is moved so that this logit has the score THRESHOLD.
+    """
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    if not 0 < share < 1:
+        return Model(np.zeros(0, dtype=U64), np.zeros(0), -40.0 if share == 0 else 40.0)
+    owner = np.array([i for i, _ in changed], dtype=np.int64)
+    after = [f for _, f in changed]
+
+    def model(rows: np.ndarray, sizes: tuple[int, ...], test: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float, np.ndarray]]:
+        best = _telling([found[i] for i in rows], toxic[rows], max(sizes))
+        every = np.sort(best)
+        x, z = _lookup(every, [found[i] for i in rows]), _lookup(every, [found[i] for i in test])
+        use = np.flatnonzero(np.isin(owner, rows))
+        change = _lookup(every, [after[i] for i in use]) - _lookup(every, [found[i] for i in owner[use]])
+        out = []
+        for size in sizes:
+            own = np.isin(every, best[:size])
+            w, b = _descend(x[:, own], toxic[rows].astype(np.float32), change[:, own], weight)
+            out.append((every[own], w, b, z[:, own] @ w + b))
+        return out
+
+    every = np.arange(len(toxic))
+    size, cut = SIZES[0], 0.0
+    if min(toxic.sum(), len(toxic) - toxic.sum()) >= 2 * FOLDS:
+        fold = np.empty(len(toxic), dtype=np.int64)
+        for y in (0, 1):
+            fold[toxic == y] = np.arange(int((toxic == y).sum())) % FOLDS
+        logit = np.zeros((len(SIZES), len(toxic)))
+        for k in range(FOLDS):
+            for n, (_, _, _, z) in enumerate(model(every[fold != k], SIZES, every[fold == k])):
+                logit[n, fold == k] = z
+        size, cut = max(((_best_cut(z, toxic), n) for z, n in zip(logit, SIZES, strict=True)), key=lambda x: x[0][1])[::-1]
+        cut = cut[0]
+    (names, w, b, _), = model(every, (size,), every[:0])
+    return Model(names, w.astype(np.float64), b - cut + float(np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, weight: float = LAMBDA) -> Model:
@@ -153,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     "doc_id": part.column(0).cast(pa.string()).take(pa.array(owner)),
                     "toxic": part.column(2).take(pa.array(owner)),
                     "turn": pa.array([0] * len(texts) + [t for _, t in turned], pa.int32()),
-                    "found": pa.array([np.unique(x).view(np.int64) for x in each], pa.list_(pa.int64())),
+                    "found": pa.array([distinct(x).view(np.int64) for x in each], pa.list_(pa.int64())),
                 })
 
     got = kept.mapInArrow(run, "doc_id string, toxic int, turn int, found array<bigint>").orderBy("doc_id", "turn").toArrow()
@@ -168,11 +217,16 @@ def block_scores(block: Block, model: Model) -> np.ndarray:
     """A score from 0 to 1 for each row."""
     logit = np.full(len(block.offsets) - 1, model.bias)
     if len(model.features):
+        names, place = np.unique(model.features & ~U64(1), return_inverse=True)
+        once, again = np.zeros(len(names)), np.zeros(len(names))
+        odd = (model.features & U64(1)).astype(bool)
+        once[place[~odd]], again[place[odd]] = model.weights[~odd], model.weights[odd]
         h, row = features(block)
-        at = np.minimum(np.searchsorted(model.features, h), len(model.features) - 1)
-        hit = model.features[at] == h
-        pair = np.unique(row[hit] * len(model.features) + at[hit])
-        np.add.at(logit, pair // len(model.features), model.weights[pair % len(model.features)])
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        hit = names[at] == h
+        pair, count = np.unique(row[hit] * len(names) + at[hit], return_counts=True)
+        at = pair % len(names)
+        np.add.at(logit, pair // len(names), once[at] + again[at] * (count > 1))
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
