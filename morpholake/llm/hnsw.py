@@ -133,7 +133,7 @@ class Graph:
         ids[:, :1], open_[:, :1] = entry, True
         score[:, 0] = np.einsum("ij,ij->i", x, self.unit[layer.members[entry[:, 0]]])
         seen[np.arange(rows), entry[:, 0]] = True
-        active, step = np.arange(rows), min(STEP, width)
+        active, step = np.arange(rows), min(width, max(STEP, width // 8))
         while len(active):
             best = np.argpartition(-np.where(open_[active], score[active], -np.inf), step - 1, axis=1)[:, :step]
             on = np.take_along_axis(open_[active], best, axis=1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morpholake.llm import attribution, bpe, hnsw, packing, pii, simhash, sketch, toxicity
+from morpholake.llm import attribution, bpe, chat, hnsw, packing, pii, simhash, sketch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,68 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+#: Tools that op5's calls name. The table of conversations holds no calls of its own, so the query reads every user's
+#: turn as one (its tool, and what is wrong with its arguments, follow from the text's length) and every assistant's
+#: turn as the result of the call one turn before; a call comes after the one two turns before.
+TOOLS = {
+    "search": {"text": ("string", True), "n": ("integer", True)},
+    "translate": {"text": ("string", True), "n": ("integer", False)},
+    "summarise": {"text": ("string", True), "n": ("number", False), "style": ("string", False)},
+}
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").withColumn("size", F.length("text"))
+    name = F.element_at(F.array(*[F.lit(t) for t in [*TOOLS, "unheard"]]), (F.col("size") % 4 + 1).cast("int"))
+    number = F.when(F.col("size") % 5 == 0, F.concat(F.lit('"'), F.col("size"), F.lit('"'))).otherwise(F.col("size").cast("string"))
+    spoken = F.regexp_extract(F.to_json(F.struct("text")), r"(?s)^\{(.*)\}$", 1)
+    arguments = F.concat(F.lit("{"), F.when(F.col("size") % 7 == 0, F.lit('"zeal": true')).otherwise(spoken), F.lit(', "n": '), number, F.lit("}"))
+    link = lambda back: F.concat(F.lit("c"), F.col("turn") - back)
+    calls = turns.where("role = 'user'").select("conv_id", "turn", link(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array(link(2)).alias("after"))
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", link(1).alias("call_id"), F.col("text").alias("content"))
+    found = chat.link_tool_calls(calls, results, TOOLS)
+    return found.select("conv_id", "call_id", "turn", "name", F.col("level").cast("bigint").alias("level"), "n_calls", "n_results", "result_turn", "valid", F.array_join("errors", ",").alias("errors"), F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+
+
+OP5_SQL = """
+WITH RECURSIVE turns AS (SELECT conv_id, turn, role, text, length(text) AS size FROM conversations),
+c AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, 'c' || (turn - 2) AS after,
+    ['search', 'translate', 'summarise', 'unheard'][1 + size % 4] AS name,
+    CASE WHEN size % 7 = 0 THEN NULL ELSE text END AS said, size,
+    CASE WHEN size % 5 = 0 THEN '"' || size || '"' ELSE size::VARCHAR END AS n,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS k, count(*) OVER (PARTITION BY conv_id, turn) AS n_calls
+  FROM turns WHERE role = 'user'),
+calls AS (SELECT * FROM c WHERE k = 1),
+r AS (
+  SELECT conv_id, turn, 'c' || (turn - 1) AS call_id, text AS content,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS k, count(*) OVER (PARTITION BY conv_id, turn) AS n_results
+  FROM turns WHERE role = 'assistant'),
+results AS (SELECT * FROM r WHERE k = 1),
+levels AS (
+  SELECT conv_id, call_id, 0 AS level FROM calls WHERE NOT EXISTS (SELECT 1 FROM calls o WHERE o.conv_id = calls.conv_id AND o.call_id = calls.after)
+  UNION ALL
+  SELECT calls.conv_id, calls.call_id, level + 1 FROM levels JOIN calls ON calls.conv_id = levels.conv_id AND calls.after = levels.call_id),
+joined AS (
+  SELECT coalesce(calls.conv_id, results.conv_id) AS conv_id, coalesce(calls.call_id, results.call_id) AS call_id,
+    calls.turn AS turn, results.turn AS result_turn, name, level, n_calls, n_results, content, said, n, size, calls.call_id IS NOT NULL AS is_call
+  FROM calls FULL JOIN results ON calls.conv_id = results.conv_id AND calls.call_id = results.call_id
+  LEFT JOIN levels ON levels.conv_id = calls.conv_id AND levels.call_id = calls.call_id),
+told AS (
+  SELECT *, CASE WHEN NOT is_call THEN 'orphan' WHEN name = 'unheard' THEN 'tool' ELSE array_to_string(list_filter([
+    CASE WHEN said IS NULL THEN 'missing:text' END,
+    CASE WHEN size % 5 = 0 THEN 'type:n' END,
+    CASE WHEN said IS NULL THEN 'unknown:zeal' END], lambda x: x IS NOT NULL), ',') END AS errors
+  FROM joined)
+SELECT conv_id, call_id, coalesce(turn, result_turn) AS turn, name, level::BIGINT AS level, coalesce(n_calls, 0) AS n_calls,
+  coalesce(n_results, 0) AS n_results, result_turn, errors = '' AS valid, errors,
+  sha256('{' || CASE WHEN is_call THEN '"arguments":{"n":' || n || CASE WHEN said IS NULL THEN ',"zeal":true' ELSE ',"text":' || to_json(said)::VARCHAR END || '},' ELSE '"arguments":[null],' END
+    || '"call_id":"' || call_id || '"' || coalesce(',"level":' || level, '') || coalesce(',"name":"' || name || '"', '')
+    || coalesce(',"result":' || to_json(content)::VARCHAR, '') || coalesce(',"turn":' || turn, '') || '}') AS json_sha256
+FROM told
+"""
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edit_likeness(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +116,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(pii.BASE).cast("binary"), 256).alias("base_sha256"), written(pii.KINDS).alias("spans"), F.aggregate("spans", F.lit(0.0), lambda a, s: F.greatest(a, s["score"])).alias("top_score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_token_counts, op4_embedding_dedup, op6_fingerprints, op7_simhash, op8_packing, op9_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_token_counts, op4_embedding_dedup, op5_tool_calls, op6_fingerprints, op7_simhash, op8_packing, op9_pii)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL}
