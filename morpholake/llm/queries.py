@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morpholake.llm import attribution, bpe, chat, hnsw, packing, pii, simhash, sketch, toxicity
+from morpholake.llm import attribution, bpe, chat, hnsw, lm, packing, pii, simhash, sketch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +116,35 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(pii.BASE).cast("binary"), 256).alias("base_sha256"), written(pii.KINDS).alias("spans"), F.aggregate("spans", F.lit(0.0), lambda a, s: F.greatest(a, s["score"])).alias("top_score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_token_counts, op4_embedding_dedup, op5_tool_calls, op6_fingerprints, op7_simhash, op8_packing, op9_pii)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score_documents(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", "n_backoff", F.round("log_score", 4).alias("log_score"))
 
-ORACLE_SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL}
+
+OP10_SQL = """
+WITH spoken AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+  FROM documents),
+n AS (SELECT doc_id, len(w) AS n_tokens, sum(len(w)) OVER () AS total FROM spoken),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM spoken),
+p AS (SELECT doc_id, place, word, lag(word) OVER (PARTITION BY doc_id ORDER BY place) AS context FROM t),
+c AS (
+  SELECT *, count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY doc_id, word) AS c_word,
+    count(*) OVER (PARTITION BY context, word) - count(*) OVER (PARTITION BY doc_id, context, word) AS c_both FROM p),
+h AS (SELECT word, count(*) AS n FROM t GROUP BY ALL),
+hd AS (SELECT doc_id, word, count(*) AS n FROM t GROUP BY ALL),
+s AS (
+  SELECT c.doc_id, CASE
+      WHEN context IS NULL THEN ln(greatest(c_word, 0.5)::DOUBLE / greatest(total - n_tokens, 1))
+      WHEN c_both > 0 THEN ln(c_both::DOUBLE / (h.n - hd.n))
+      ELSE ln(0.4 * greatest(c_word, 0.5)::DOUBLE / greatest(total - n_tokens, 1)) END AS score,
+    context IS NOT NULL AND c_both = 0 AS back
+  FROM c JOIN n USING (doc_id) LEFT JOIN h ON h.word = c.context LEFT JOIN hd ON hd.doc_id = c.doc_id AND hd.word = c.context)
+SELECT n.doc_id, n_tokens::BIGINT AS n_tokens, coalesce(sum(back::INT), 0)::BIGINT AS n_backoff, round(coalesce(sum(score), 0.0), 4) AS log_score
+FROM n LEFT JOIN s ON s.doc_id = n.doc_id GROUP BY n.doc_id, n_tokens
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_token_counts, op4_embedding_dedup, op5_tool_calls, op6_fingerprints, op7_simhash, op8_packing, op9_pii, op10_lm_scores)}
+
+ORACLE_SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op10_lm_scores": OP10_SQL}
