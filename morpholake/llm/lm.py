@@ -206,56 +206,62 @@ def _block_rows(block: Block, unit: int, top: np.ndarray, top_counts: np.ndarray
     return out
 
 
+def _short(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the three small counts (times, own context, own word) of a row of short entries."""
+    five = np.frombuffer(r["b"], dtype=np.uint8).reshape(-1, 5)
+    eight = np.zeros((len(five), 8), dtype=np.uint8)
+    eight[:, :5] = five
+    return eight.view("<u8").ravel(), np.frombuffer(r["c"], dtype=np.uint8).reshape(3, -1)
+
+
 def _scored(rows: list[dict], top: np.ndarray, top_counts: np.ndarray, buckets: int, alpha: float) -> Iterator[tuple]:
-    """What a bucket of bigrams sends back (SUMS) and asks for (ASKS)."""
-    keys, context, word, hashes = [], [], [], []
-    times, own_context, own_word, unit_row, unit = [], [], [], [], []
-    for i, r in enumerate(rows):
+    """What a bucket of bigrams sends back (SUMS) and asks for (ASKS). All that is held for the whole bucket is a key and a count for each entry."""
+    keys, times = [], []
+    for r in rows:
         if r["d"]:
-            w = np.frombuffer(r["d"], dtype=WIDE)
-            keys.append(w["key"])
-            hashes.append(np.stack((w["context"], w["word"])))
-            context.append(_code(top, w["context"]))
-            word.append(_code(top, w["word"]))
-            times.append(w["times"].astype(np.int64))
-            own_context.append(w["own_context"].astype(np.int64))
-            own_word.append(w["own_word"].astype(np.int64))
+            wide = np.frombuffer(r["d"], dtype=WIDE)
+            keys.append(wide["key"])
+            times.append(wide["times"].astype(np.int32))
         else:
-            five = np.frombuffer(r["b"], dtype=np.uint8).reshape(-1, 5)
-            eight = np.zeros((len(five), 8), dtype=np.uint8)
-            eight[:, :5] = five
-            key = eight.view("<u8").ravel()
-            small = np.frombuffer(r["c"], dtype=np.uint8).reshape(3, -1).astype(np.int64)
+            key, small = _short(r)
             keys.append(key)
-            hashes.append(np.zeros((2, len(key)), dtype=U64))
-            context.append((key >> U64(20)).astype(np.int64))
-            word.append((key & U64((1 << 20) - 1)).astype(np.int64))
-            times.append(small[0])
-            own_context.append(small[1])
-            own_word.append(small[2])
-        unit_row.append(np.repeat(np.arange(r["rows"]), np.frombuffer(r["a"], dtype="<u4")))
-        unit.append(np.full(len(keys[-1]), i))
+            times.append(small[0].astype(np.int32))
+    cut = np.cumsum([0, *map(len, keys)])
     key, times = np.concatenate(keys), np.concatenate(times)
-    _, group = np.unique(key, return_inverse=True)
-    others = np.bincount(group, weights=times).astype(np.int64)[group] - times
-    seen = others > 0
-    code = np.where(seen, np.concatenate(context), np.concatenate(word))
-    own = np.where(seen, np.concatenate(own_context), np.concatenate(own_word))
-    signed = np.where(seen, -times, times)
-    value = np.where(seen, times * np.log(np.maximum(others, 1)), times * math.log(alpha))
-    known = code >= 0
-    value[known] += signed[known] * np.log(np.maximum(top_counts[code[known]] - own[known], 0.5)) if len(top) else 0.0
-    back = np.where(seen, 0, times)
-    place = np.concatenate(unit_row)
-    of = np.concatenate(unit)
-    cut = np.searchsorted(of, np.arange(len(rows) + 1))
-    asked = np.concatenate(hashes, axis=1)
-    asked = np.where(seen, asked[0], asked[1])
+    del keys
+    order = np.argsort(key)
+    key = key[order]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    del key
+    total = np.add.reduceat(times[order].astype(np.int64), head)
+    others = np.empty(len(order), dtype=np.int64)
+    others[order] = np.repeat(total, np.diff(np.append(head, len(order))))
+    others -= times
+    del order, head, total
     for i, r in enumerate(rows):
-        s = slice(cut[i], cut[i + 1])
-        yield (0, SUMS, r["unit"], r["rows"], np.bincount(place[s], weights=value[s], minlength=r["rows"]).tobytes(), np.bincount(place[s], weights=back[s], minlength=r["rows"]).astype("<u4").tobytes(), b"", b"")
-        want = np.flatnonzero(~known[s]) + cut[i]
-        yield from _ask_rows(_asks(asked[want], place[want], signed[want], own[want]), r["unit"], r["rows"], buckets)
+        n, c = times[cut[i] : cut[i + 1]].astype(np.int64), others[cut[i] : cut[i + 1]]
+        seen = c > 0
+        if r["d"]:
+            wide = np.frombuffer(r["d"], dtype=WIDE)
+            asked = np.where(seen, wide["context"], wide["word"])
+            code = _code(top, asked)
+            own = np.where(seen, wide["own_context"], wide["own_word"]).astype(np.int64)
+        else:
+            key, small = _short(r)
+            asked = np.zeros(0, dtype=U64)
+            code = np.where(seen, key >> U64(20), key & U64((1 << 20) - 1)).astype(np.int64)
+            own = np.where(seen, small[1], small[2]).astype(np.int64)
+        signed = np.where(seen, -n, n)
+        value = np.where(seen, n * np.log(np.maximum(c, 1)), n * math.log(alpha))
+        known = code >= 0
+        if known.any():
+            value[known] += signed[known] * np.log(np.maximum(top_counts[code[known]] - own[known], 0.5))
+        place = np.repeat(np.arange(r["rows"]), np.frombuffer(r["a"], dtype="<u4"))
+        back = np.bincount(place, weights=np.where(seen, 0, n), minlength=r["rows"]).astype("<u4")
+        yield (0, SUMS, r["unit"], r["rows"], np.bincount(place, weights=value, minlength=r["rows"]).tobytes(), back.tobytes(), b"", b"")
+        if not known.all():
+            want = np.flatnonzero(~known)
+            yield from _ask_rows(_asks(asked[want], place[want], signed[want], own[want]), r["unit"], r["rows"], buckets)
 
 
 def score_documents(df: DataFrame, alpha: float = ALPHA, top_words: int = TOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
