@@ -74,16 +74,14 @@ def canonical(df: DataFrame, depth: Sequence[float] | None) -> DataFrame:
 
     df has points (array of x, y) and rotation. depth: a depth for each point in cheekbone widths. With a rotation whose
     upper left block can be inverted, yaw, pitch and roll are undone by those fixed depths; otherwise roll alone, from
-    the line between the inner eye corners.
+    the line between the inner eye corners. Points need not be centred first: the origin is moved at the end.
     """
     r = lambda name: F.col("rotation")[name]
     p = lambda i, axis: F.col("points")[i][axis]
     det = r("a") * r("e") - r("b") * r("d")
     turns = F.coalesce(F.abs(det) > 1e-6, F.lit(False)) if depth is not None else F.lit(False)
-    count = F.size("points")
-    total = lambda axis: F.aggregate("points", F.lit(0.0), lambda s, q: s + q[axis]) / count
     df = df.withColumns({
-        "_turns": turns, "_mx": total("x"), "_my": total("y"), "_det": det,
+        "_turns": turns, "_det": det,
         "_w": F.sqrt(F.pow(p(ZYGOMA[0], "x") - p(ZYGOMA[1], "x"), 2) + F.pow(p(ZYGOMA[0], "y") - p(ZYGOMA[1], "y"), 2)),
         "_t": F.atan2(p(INNER[1], "y") - p(INNER[0], "y"), p(INNER[1], "x") - p(INNER[0], "x")),
         "_ox": (p(INNER[0], "x") + p(INNER[1], "x")) / 2.0, "_oy": (p(INNER[0], "y") + p(INNER[1], "y")) / 2.0,
@@ -98,8 +96,8 @@ def canonical(df: DataFrame, depth: Sequence[float] | None) -> DataFrame:
         deep = F.array(*[F.lit(float(z)) for z in depth])
 
         def straight(q: Column, z: Column) -> Column:
-            x = q["x"] - c("_mx") - z * c("_w") * r("c")
-            y = q["y"] - c("_my") - z * c("_w") * r("f")
+            x = q["x"] - z * c("_w") * r("c")
+            y = q["y"] - z * c("_w") * r("f")
             return F.struct(((r("e") * x - r("b") * y) / c("_det")).alias("x"), ((r("a") * y - r("d") * x) / c("_det")).alias("y"))
 
         df = df.withColumn("_straight", F.when(c("_turns"), F.zip_with("points", deep, straight)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+
 from morpholake.functions.geometry import Geometry, num
 from morpholake.operators.features import families
 from morpholake.operators.phenotypes import USED
@@ -49,25 +51,25 @@ def rounded(expr: str, name: str, places: int = 6) -> str:
 _MATRIX = "CASE vec_id % 4 " + " ".join(f"WHEN {k} THEN {[[float(x) for x in row] for row in m]}::DOUBLE[][]" for k, m in MATRICES.items()) + " ELSE NULL END"
 _X = f"((({XS}::BIGINT[])[i + 1] * 100 + {jitter('i', 'vec_id', 7919, 104729)}) / 100000.0::DOUBLE) * 1000.0::DOUBLE"
 _Y = f"((({YS}::BIGINT[])[i + 1] * 100 + {jitter('i', 'vec_id', 6101, 15485863)}) / 100000.0::DOUBLE) * 1000.0::DOUBLE"
-LANDMARKS = f"""lm AS (
+LANDMARKS = f"""lm AS MATERIALIZED (
   SELECT vec_id, label::VARCHAR AS disease, {_MATRIX} AS m, list_transform(range({POINTS}), lambda i: {{'x': {_X}, 'y': {_Y}}}) AS pts FROM embeddings)"""
 
 #: Canonical points without de-rotation.
-FLAT = """o AS (
+FLAT = """o AS MATERIALIZED (
   SELECT *, (pts[134].x + pts[363].x) / 2 AS ox, (pts[134].y + pts[363].y) / 2 AS oy,
     -atan2(pts[363].y - pts[134].y, pts[363].x - pts[134].x) AS t FROM lm),
-flat AS (
+flat AS MATERIALIZED (
   SELECT *, list_transform(pts, lambda p: {'x': cos(t) * (p.x - ox) - sin(t) * (p.y - oy), 'y': sin(t) * (p.x - ox) + cos(t) * (p.y - oy)}) AS canon FROM o)"""
 
 #: Canonical points with it, where there is a matrix; the fixture's matrices are rotations already.
-TURNED = f"""n AS (
+TURNED = f"""n AS MATERIALIZED (
   SELECT *, m[1][1] * m[2][2] - m[1][2] * m[2][1] AS det, list_avg(list_transform(pts, lambda p: p.x)) AS mx, list_avg(list_transform(pts, lambda p: p.y)) AS my,
     sqrt(pow(pts[235].x - pts[455].x, 2) + pow(pts[235].y - pts[455].y, 2)) AS w, {DEPTH}::DOUBLE[] AS z FROM flat),
-s AS (
+s AS MATERIALIZED (
   SELECT *, list_transform(pts, lambda p, i: {{'x': p.x - mx - z[i] * w * m[1][3], 'y': p.y - my - z[i] * w * m[2][3]}}) AS shifted FROM n),
-h AS (
+h AS MATERIALIZED (
   SELECT *, list_transform(shifted, lambda p: {{'x': (m[2][2] * p.x - m[1][2] * p.y) / det, 'y': (m[1][1] * p.y - m[2][1] * p.x) / det}}) AS head FROM s),
-turned AS (
+turned AS MATERIALIZED (
   SELECT vec_id, disease, m, m IS NOT NULL AND abs(det) > 1e-6 AS derotated,
     CASE WHEN m IS NOT NULL AND abs(det) > 1e-6 THEN list_transform(head, lambda p: {{'x': p.x - (head[134].x + head[363].x) / 2, 'y': p.y - (head[134].y + head[363].y) / 2}}) ELSE canon END AS canon
   FROM h)"""
@@ -183,7 +185,7 @@ _ONTO = ", ".join([
 ])
 _CACHED = _values(CACHE, "cache", "query_name, mondo_id, mondo_name, omim_xrefs, matched_via, manual_override")
 
-_EDGES = [float(x) for x in __import__("numpy").cumsum([math.exp(-1.0) / math.factorial(k) for k in range(12)])]
+_EDGES = [float(x) for x in np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(12)])]
 _WEIGHT = " + ".join(f"(u >= {e!r}::DOUBLE)::INTEGER" for e in _EDGES)
 
 ORACLE_SQL: dict[str, str] = {

@@ -93,7 +93,7 @@ def obo_tables(stanzas: DataFrame, column: str = "value") -> tuple[DataFrame, Da
 
 def seeds(spec: Column) -> Column:
     """Array of seeds from text such as '0,3,10-12'; an empty list, or a part that is no number or range, is an error."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
     wrong = (F.size(parts) == 0) | F.exists(parts, lambda p: ~p.rlike(r"^\d+(-\d+)?$"))
     span = lambda p: F.sequence(F.substring_index(p, "-", 1).cast("int"), F.substring_index(p, "-", -1).cast("int"))
     return F.when(wrong, F.raise_error(F.concat(F.lit("not a list of seeds: "), F.coalesce(spec, F.lit("NULL")))).cast("array<int>")).otherwise(F.flatten(F.transform(parts, span)))
