@@ -2,8 +2,9 @@
 
 DataFrame functions only. Calls and results are first reduced to one row for each (conversation, id), the earliest turn,
 with a count, so the hash join on the id is one to one however often an id is repeated. A call follows the calls named
-in its after; its level is one more than the highest among them, found by rounds of equi-joins over the calls that are
-still open (as many rounds as the longest chain has calls). Sorting by (level, turn, call_id) is a topological order.
+in its after. Sorting a conversation by (level, turn, call_id) is a topological order: where some call follows one of a
+later turn, a call's level is one more than the highest among those it follows, found by rounds of equi-joins over the
+calls that are still open (as many rounds as the longest chain of such a conversation has calls); elsewhere it is 0.
 Arguments are parsed once into a variant, whose object fields are in order of their names, and so is what is written.
 
 Cases: rows without a conversation or an id cannot be linked and are calls by themselves, with the error "id"; results
@@ -47,14 +48,23 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of every call that is in no circle and behind none; calls: one row for each (conv_id, call_id), with after."""
+    """(conv_id, call_id, level) of every call that is in no circle and behind none; calls: one row for each (conv_id, call_id), with turn and after.
+
+    Where every call follows calls of earlier turns only, as in a transcript that was written down in order, the turns
+    are a topological order already, and all levels are 0. Levels are counted in the other conversations.
+    """
     keys = ["conv_id", "call_id"]
-    known = calls.select("conv_id", F.col("call_id").alias("needs"))
-    edges = calls.select(*keys, F.explode(F.array_distinct("after")).alias("needs")).join(known, ["conv_id", "needs"], "left_semi")
+    known = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn"))
+    edges = calls.select(*keys, "turn", F.explode(F.array_distinct("after")).alias("needs")).join(known, ["conv_id", "needs"])
     edges = checkpointed(edges)
-    open_ = edges.groupBy(*keys).agg(F.count("*").alias("wants"))
-    done = [checkpointed(calls.select(*keys).join(open_, keys, "left_anti").withColumn("level", F.lit(0)))]
-    open_, met = checkpointed(open_), None
+    backward = checkpointed(edges.where(~F.coalesce(F.col("needs_turn") < F.col("turn"), F.lit(False))).select("conv_id").distinct())
+    written = calls.join(backward, "conv_id", "left_anti").select(*keys, F.lit(0).alias("level"))
+    if backward.isEmpty():
+        return written
+    edges = checkpointed(edges.join(backward, "conv_id", "left_semi").select(*keys, "needs"))
+    open_ = checkpointed(edges.groupBy(*keys).agg(F.count("*").alias("wants")))
+    done = [checkpointed(calls.join(backward, "conv_id", "left_semi").join(open_, keys, "left_anti").select(*keys, F.lit(0).alias("level")))]
+    met = None
     while not open_.isEmpty():
         got = edges.join(done[-1].select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]).groupBy(*keys).agg(F.count("*").alias("met"))
         met = got if met is None else met.unionAll(got).groupBy(*keys).agg(F.sum("met").alias("met"))
@@ -64,7 +74,7 @@ def levels(calls: DataFrame) -> DataFrame:
             break
         done.append(ready)
         open_ = checkpointed(open_.join(ready, keys, "left_anti"))
-    return reduce(DataFrame.unionAll, done)
+    return reduce(DataFrame.unionAll, done, written)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -35,7 +35,8 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Tools that op5's calls name. The table of conversations holds no calls of its own, so the query reads every user's
 #: turn as one (its tool, and what is wrong with its arguments, follow from the text's length) and every assistant's
-#: turn as the result of the call one turn before; a call comes after the one two turns before.
+#: turn as the result of the call one turn before. A call comes after the one two turns before; in every eleventh
+#: conversation, those of turns 0 and 1 modulo 4 come after the one two turns later instead.
 TOOLS = {
     "search": {"text": ("string", True), "n": ("integer", True)},
     "translate": {"text": ("string", True), "n": ("integer", False)},
@@ -50,7 +51,8 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = F.regexp_extract(F.to_json(F.struct("text")), r"(?s)^\{(.*)\}$", 1)
     arguments = F.concat(F.lit("{"), F.when(F.col("size") % 7 == 0, F.lit('"zeal": true')).otherwise(spoken), F.lit(', "n": '), number, F.lit("}"))
     link = lambda back: F.concat(F.lit("c"), F.col("turn") - back)
-    calls = turns.where("role = 'user'").select("conv_id", "turn", link(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array(link(2)).alias("after"))
+    back = F.when(F.col("conv_id") % 11 != 3, link(2)).when(F.col("turn") % 4 < 2, link(-2))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", link(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array(back).alias("after"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", link(1).alias("call_id"), F.col("text").alias("content"))
     found = chat.link_tool_calls(calls, results, TOOLS)
     return found.select("conv_id", "call_id", "turn", "name", F.col("level").cast("bigint").alias("level"), "n_calls", "n_results", "result_turn", "valid", F.array_join("errors", ",").alias("errors"), F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
@@ -59,7 +61,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH RECURSIVE turns AS (SELECT conv_id, turn, role, text, length(text) AS size FROM conversations),
 c AS (
-  SELECT conv_id, turn, 'c' || turn AS call_id, 'c' || (turn - 2) AS after,
+  SELECT conv_id, turn, 'c' || turn AS call_id, CASE WHEN conv_id % 11 <> 3 THEN 'c' || (turn - 2) WHEN turn % 4 < 2 THEN 'c' || (turn + 2) END AS after,
     ['search', 'translate', 'summarise', 'unheard'][1 + size % 4] AS name,
     CASE WHEN size % 7 = 0 THEN NULL ELSE text END AS said, size,
     CASE WHEN size % 5 = 0 THEN '"' || size || '"' ELSE size::VARCHAR END AS n,
@@ -71,10 +73,11 @@ r AS (
     row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS k, count(*) OVER (PARTITION BY conv_id, turn) AS n_results
   FROM turns WHERE role = 'assistant'),
 results AS (SELECT * FROM r WHERE k = 1),
+late AS (SELECT conv_id FROM calls JOIN calls o USING (conv_id) WHERE o.call_id = calls.after AND o.turn >= calls.turn),
 levels AS (
-  SELECT conv_id, call_id, 0 AS level FROM calls WHERE NOT EXISTS (SELECT 1 FROM calls o WHERE o.conv_id = calls.conv_id AND o.call_id = calls.after)
+  SELECT conv_id, call_id, 0 AS level FROM calls WHERE conv_id NOT IN (SELECT conv_id FROM late) OR NOT EXISTS (SELECT 1 FROM calls o WHERE o.conv_id = calls.conv_id AND o.call_id = calls.after)
   UNION ALL
-  SELECT calls.conv_id, calls.call_id, level + 1 FROM levels JOIN calls ON calls.conv_id = levels.conv_id AND calls.after = levels.call_id),
+  SELECT calls.conv_id, calls.call_id, level + 1 FROM levels JOIN calls ON calls.conv_id = levels.conv_id AND calls.after = levels.call_id AND calls.conv_id IN (SELECT conv_id FROM late)),
 joined AS (
   SELECT coalesce(calls.conv_id, results.conv_id) AS conv_id, coalesce(calls.call_id, results.call_id) AS call_id,
     calls.turn AS turn, results.turn AS result_turn, name, level, n_calls, n_results, content, said, n, size, calls.call_id IS NOT NULL AS is_call
