@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from morpholake.llm.blocks import IS_MARK, U64, Block, id_and_text, lanes, mix, span_hashes, text_blocks, words
 
 #: Labelled rows that the model is fitted on, at most: those whose ids have the smallest hashes.
-FIT_ROWS = 8000
+FIT_ROWS = 4000
 #: Numbers of features among which cross-validation chooses.
 SIZES = (100, 400, 1024)
 FOLDS, ROUNDS, RIDGE, LAMBDA = 3, 150, 1e-4, 1.0
@@ -96,7 +96,7 @@ def _block(texts: list[str]) -> Block:
 def _lookup(names: np.ndarray, of: list[np.ndarray]) -> np.ndarray:
     """A row of zeros and ones for each text: which of the sorted names are among its features."""
     x = np.zeros((len(of), len(names)), dtype=np.float32)
-    for i, f in enumerate(of):
+    for i, f in enumerate(of) if len(names) else ():
         at = np.minimum(np.searchsorted(names, f), len(names) - 1)
         x[i, at[names[at] == f]] = 1
     return x
@@ -148,7 +148,7 @@ def fit(found: list[np.ndarray], changed: list[tuple[int, np.ndarray]], toxic: n
     """
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
-        return Model(np.zeros(0, dtype=U64), np.zeros(0), -40.0 if share == 0 else 40.0)
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), -40.0 if share == 0 else 40.0)
     owner = np.array([i for i, _ in changed], dtype=np.int64)
     after = [f for _, f in changed]
 
@@ -206,11 +206,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 })
 
     got = kept.mapInArrow(run, "doc_id string, toxic int, turn int, found array<bigint>").orderBy("doc_id", "turn").toArrow()
-    ids, turns, toxic = got["doc_id"].to_pylist(), np.array(got["turn"].to_pylist()), np.array(got["toxic"].to_pylist(), dtype=np.int64)
-    found = [np.array(x, dtype=np.int64).view(U64) for x in (got["found"].chunk(c)[i].values.to_numpy() for c in range(got["found"].num_chunks) for i in range(len(got["found"].chunk(c))))]
-    own = [i for i in range(len(ids)) if turns[i] == 0]
+    turns, toxic = got["turn"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
+    ids = got["doc_id"].to_pylist()
+    names, found = _shared([chunk[i].values.to_numpy().view(U64) for chunk in got["found"].chunks for i in range(len(chunk))], turns == 0)
+    del got
+    own = np.flatnonzero(turns == 0)
     number = {ids[i]: n for n, i in enumerate(own)}
-    return fit([found[i] for i in own], [(number[ids[i]], found[i]) for i in range(len(ids)) if turns[i]], toxic[own] if own else toxic, weight=weight)
+    model = fit([found[i] for i in own], [(number[ids[i]], found[i]) for i in np.flatnonzero(turns)], toxic[own], weight=weight)
+    return model._replace(features=names[model.features])
+
+
+def _shared(found: list[np.ndarray], counted: np.ndarray, least: int = 4) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted hashes that at least least of the counted texts have, and each text's as places among them.
+
+    A table of small counters, by the hashes' upper bits, first sets most of the rare ones aside, so that little more
+    than what is kept is ever held.
+    """
+    table, shift = np.zeros(1 << 22, dtype=np.uint16), U64(42)
+    for f, c in zip(found, counted, strict=True):
+        if c:
+            at = np.unique(f >> shift)
+            table[at] += table[at] < 60000
+    found = [f[table[f >> shift] >= least] for f in found]
+    names, count = np.unique(np.concatenate([f for f, c in zip(found, counted, strict=True) if c] or [np.zeros(0, dtype=U64)]), return_counts=True)
+    names = names[count >= least]
+    out = []
+    for f in found:
+        at = np.minimum(np.searchsorted(names, f), max(len(names) - 1, 0))
+        out.append(at[names[at] == f].astype(np.int32) if len(names) else np.zeros(0, dtype=np.int32))
+    return names, out
 
 
 def block_scores(block: Block, model: Model) -> np.ndarray:
