@@ -31,6 +31,8 @@ SIZES = (100, 400, 1024)
 FOLDS, ROUNDS, RIDGE, LAMBDA = 3, 150, 1e-4, 1.0
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 THRESHOLD = 0.7
+#: Logits between which cross-validation may place the threshold.
+CUTS = (-1.0, 3.0)
 #: Names of groups; within a line they are swapped for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys", "transgender people", "nonbinary people"),
@@ -133,11 +135,11 @@ def _descend(x: np.ndarray, toxic: np.ndarray, change: np.ndarray, weight: float
 
 
 def _best_cut(logit: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """The cut between two scores with the best F1, and that F1."""
+    """The cut between two scores with the best F0.5 (precision counts more), and that figure. The cut stays in CUTS: a few labels must not condemn everything."""
     order = np.argsort(-logit, kind="stable")
-    f1 = 2 * np.cumsum(toxic[order]) / (np.arange(1, len(toxic) + 1) + toxic.sum())
-    k = int(np.argmax(f1))
-    return float(logit[order[k]] + logit[order[min(k + 1, len(order) - 1)]]) / 2, float(f1[k])
+    f = 1.25 * np.cumsum(toxic[order]) / (np.arange(1, len(toxic) + 1) + 0.25 * toxic.sum())
+    k = int(np.argmax(f))
+    return float(np.clip((logit[order[k]] + logit[order[min(k + 1, len(order) - 1)]]) / 2, *CUTS)), float(f[k])
 
 
 def fit(found: list[np.ndarray], changed: list[tuple[int, np.ndarray]], toxic: np.ndarray, weight: float = LAMBDA) -> Model:
