@@ -105,7 +105,7 @@ _POSE = f"""pose AS (
 angles AS (
   SELECT vec_id, disease, degrees(atan2(-m[3][1], sy)) AS pose_yaw,
     degrees(CASE WHEN sy > 1e-6 THEN atan2(m[3][2], m[3][3]) ELSE atan2(-m[2][3], m[2][2]) END) AS pose_pitch,
-    degrees(CASE WHEN sy > 1e-6 THEN atan2(m[2][1], m[1][1]) ELSE 0.0 END) AS pose_roll FROM pose),
+    degrees(CASE WHEN sy > 1e-6 THEN atan2(m[2][1], m[1][1]) WHEN sy IS NOT NULL THEN 0.0 END) AS pose_roll FROM pose),
 gated AS (
   SELECT *, abs(pose_yaw) <= 15 AND abs(pose_pitch) <= 15 AND abs(pose_roll) <= 10 AS frontal_ok FROM angles)"""
 
