@@ -33,6 +33,21 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs of a label by brute force; the graphs must find the same.
+OP4_SQL = """
+WITH RECURSIVE n AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+g AS (SELECT * FROM n WHERE label IS NOT NULL AND norm > 0 AND isfinite(norm)),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT a AS node, b AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+k AS (SELECT node, min(reach) AS least_ FROM r GROUP BY node),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least_, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least_, vec_id)) AS kept
+FROM embeddings LEFT JOIN k ON node = vec_id LEFT JOIN c ON a = vec_id
+"""
+
 #: Tools that op5's calls name. The table of conversations holds no calls of its own, so the query reads every user's
 #: turn as one (its tool, and what is wrong with its arguments, follow from the text's length) and every assistant's
 #: turn as the result of the call one turn before. A call comes after the one two turns before; in every eleventh
@@ -150,4 +165,4 @@ FROM n LEFT JOIN s ON s.doc_id = n.doc_id GROUP BY n.doc_id, n_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_token_counts, op4_embedding_dedup, op5_tool_calls, op6_fingerprints, op7_simhash, op8_packing, op9_pii, op10_lm_scores)}
 
-ORACLE_SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op10_lm_scores": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": OP4_SQL, "op5_tool_calls": OP5_SQL, "op10_lm_scores": OP10_SQL}
