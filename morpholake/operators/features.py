@@ -11,7 +11,6 @@ from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from morpholake.functions.geometry import EPS, Geometry, num
 
@@ -235,7 +234,7 @@ def with_features(df: DataFrame, names: Iterable[str] | None = None, skip: str |
     measured = {n: e for f in used.values() for n, e in f.measured.items()}
     derived = {n: e for f in used.values() for n, e in f.derived.items()}
     other = [c for c in df.columns if not (c[0] in "xy" and c[1:].isdigit())]
-    first = df.select(*other, *[F.expr(e).alias(n) for n, e in measured.items()])
-    value = lambda n: F.expr(derived[n]) if n in derived else F.col(n)
-    gate = (lambda c: F.when(~F.coalesce(F.expr(skip), F.lit(False)), c)) if skip else (lambda c: c)
-    return first.select(*other, *[gate(value(n)).alias(n) for n in wanted])
+    kept = [f"`{c}`" for c in other]
+    first = df.selectExpr(*kept, *[f"{e} AS {n}" for n, e in measured.items()])
+    gate = (lambda e: f"CASE WHEN NOT coalesce({skip}, false) THEN {e} END") if skip else (lambda e: e)
+    return first.selectExpr(*kept, *[f"{gate(derived.get(n, n))} AS {n}" for n in wanted])

@@ -93,7 +93,7 @@ def canonical(df: DataFrame, depth: Sequence[float] | None) -> DataFrame:
         (c("_s") * (q["x"] - c("_ox")) + c("_c") * (q["y"] - c("_oy"))).alias("y"),
     ))
     if depth is not None:
-        deep = F.array(*[F.lit(float(z)) for z in depth])
+        deep = F.expr(f"array({', '.join(f'CAST({float(z)!r} AS DOUBLE)' for z in depth)})")
 
         def straight(q: Column, z: Column) -> Column:
             x = q["x"] - z * c("_w") * r("c")
@@ -121,4 +121,4 @@ def with_scales(df: DataFrame) -> DataFrame:
 
 def point_columns(df: DataFrame, used: Sequence[int]) -> DataFrame:
     """canon as columns x0, y0, .. for the points used."""
-    return df.select(*[c for c in df.columns if c != "canon"], *[F.col("canon")[i][a].alias(f"{a}{i}") for i in used for a in "xy"])
+    return df.selectExpr(*[f"`{c}`" for c in df.columns if c != "canon"], *[f"canon[{i}].{a} AS {a}{i}" for i in used for a in "xy"])
