@@ -2,9 +2,9 @@
 
 DataFrame functions only. Calls and results are first reduced to one row for each (conversation, id), the earliest turn,
 with a count, so the hash join on the id is one to one however often an id is repeated. A call follows the calls named
-in its after. Sorting a conversation by (level, turn, call_id) is a topological order: where some call follows one of a
-later turn, a call's level is one more than the highest among those it follows, found by rounds of equi-joins over the
-calls that are still open (as many rounds as the longest chain of such a conversation has calls); elsewhere it is 0.
+in its after; its level is one more than the highest among them, found in rounds that grow with the logarithm of the
+longest chain: a conversation's links are doubled in length by equi-joins, so where calls follow several others each,
+up to the square of its calls in pairs. Sorting by (level, turn, call_id) is a topological order.
 Arguments are parsed once into a variant, whose object fields are in order of their names, and so is what is written.
 
 Cases: rows without a conversation or an id cannot be linked and are calls by themselves, with the error "id"; results
@@ -17,9 +17,8 @@ and an unknown field give "missing:x", "type:x" and "unknown:x"; empty tables gi
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morpholake.llm.blocks import checkpointed
@@ -48,33 +47,32 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of every call that is in no circle and behind none; calls: one row for each (conv_id, call_id), with turn and after.
+    """(conv_id, call_id, level) of every call that is in no circle and behind none; calls: one row for each (conv_id, call_id), with after.
 
-    Where every call follows calls of earlier turns only, as in a transcript that was written down in order, the turns
-    are a topological order already, and all levels are 0. Levels are counted in the other conversations.
+    Links over 1, 2, 4, ... calls are made by joining those of half the length with themselves, until there are none or
+    they are longer than any conversation. A level is then put together from the longest down, each link taken where one
+    starts at where the call has come to. A level of as many links as the conversation has calls is that of a circle.
     """
     keys = ["conv_id", "call_id"]
-    known = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn"))
-    edges = calls.select(*keys, "turn", F.explode(F.array_distinct("after")).alias("needs")).join(known, ["conv_id", "needs"])
-    edges = checkpointed(edges)
-    backward = checkpointed(edges.where(~F.coalesce(F.col("needs_turn") < F.col("turn"), F.lit(False))).select("conv_id").distinct())
-    written = calls.join(backward, "conv_id", "left_anti").select(*keys, F.lit(0).alias("level"))
-    if backward.isEmpty():
-        return written
-    edges = checkpointed(edges.join(backward, "conv_id", "left_semi").select(*keys, "needs"))
-    open_ = checkpointed(edges.groupBy(*keys).agg(F.count("*").alias("wants")))
-    done = [checkpointed(calls.join(backward, "conv_id", "left_semi").join(open_, keys, "left_anti").select(*keys, F.lit(0).alias("level")))]
-    met = None
-    while not open_.isEmpty():
-        got = edges.join(done[-1].select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]).groupBy(*keys).agg(F.count("*").alias("met"))
-        met = got if met is None else met.unionAll(got).groupBy(*keys).agg(F.sum("met").alias("met"))
-        met = checkpointed(met)
-        ready = checkpointed(open_.join(met, keys).where("wants = met").select(*keys, F.lit(len(done)).alias("level")))
-        if ready.isEmpty():
+    known = calls.select("conv_id", F.col("call_id").alias("needs"))
+    edges = checkpointed(calls.select(*keys, F.explode(F.array_distinct("after")).alias("needs")).join(known, ["conv_id", "needs"], "left_semi").select(*keys, "needs"))
+    sizes = calls.groupBy("conv_id").agg(F.count("*").alias("n")).join(edges.select("conv_id").distinct(), "conv_id", "left_semi")
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    steps = [edges] if longest else []
+    while steps and 2 ** len(steps) <= longest:
+        on = steps[-1].select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("far"))
+        twice = checkpointed(steps[-1].join(on, ["conv_id", "needs"]).select(*keys, F.col("far").alias("needs")).distinct())
+        if twice.isEmpty():
             break
-        done.append(ready)
-        open_ = checkpointed(open_.join(ready, keys, "left_anti"))
-    return reduce(DataFrame.unionAll, done, written)
+        steps.append(twice)
+    at = calls.select(*keys, F.col("call_id").alias("at"), F.lit(0).alias("level"))
+    for k, step in reversed(list(enumerate(steps))):
+        on = step.select("conv_id", F.col("call_id").alias("at"), "needs")
+        moves = F.max(F.col("needs").isNotNull()).over(Window.partitionBy(*keys))
+        met = at.join(on, ["conv_id", "at"], "left").withColumn("moves", moves).where("needs is not null or not moves")
+        at = checkpointed(met.select(*keys, F.coalesce("needs", "at").alias("at"), (F.col("level") + F.when(F.col("moves"), 2**k).otherwise(0)).alias("level")).distinct())
+    size = calls.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return at.select(*keys, "level").distinct().join(size, "conv_id").where("level < n").select(*keys, "level")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
