@@ -150,7 +150,7 @@ def landmarks_pixels() -> Column:
 
 
 def _shown(df: DataFrame, *keys: str) -> DataFrame:
-    rows = df.select(*keys, F.posexplode_outer("canon").alias("point", "p")).where("point % 7 = 0 or point in (133, 362)")
+    rows = df.select(*keys, F.posexplode_outer("canon").alias("point", "p"))
     return _round(rows.select(*keys, "point", "p.x", "p.y"), "x", "y")
 
 
