@@ -1,0 +1,116 @@
+"""Near copies by the share of five-word shingles that two texts have in common, 0.8 or more of those of either.
+
+Texts that share 0.8 lie up to 11 bits and more apart as SimHash fingerprints, too far for blocks that must agree, so
+candidates are met by MinHash: a text has BANDS keys of ROWS minima each, and two that share 0.8 have none in common
+with a chance of 3 in a million. Every candidate's share is then counted on its distinct shingles. Texts of the same
+shingles count once. First each is compared with the least of those that share a key; then, where a key's texts are
+still in several components, all its pairs across components are. That is quadratic for texts that meet and are unlike.
+
+Cases: a null text is empty; texts without words are copies of one another; a text of fewer words than a shingle has one
+shingle of them all; repeated ids keep a row for each of their texts; rows without an id have a null component_id; a
+table without rows gives none; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from morpholake.llm.blocks import U64, Block, checkpointed, id_and_text, mix, shingle_hashes, span_hashes, text_blocks, words
+from morpholake.llm.graph import components, loose
+
+SHINGLE, SHARE, BANDS, ROWS = 5, 0.8, 32, 5
+_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
+_SHIFTS = mix(np.arange(1000, 1000 + BANDS * ROWS, dtype=U64))
+
+
+def shingle_sets(block: Block, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Each row's distinct hashes, in order."""
+    w = words(block)
+    hashes, at = shingle_hashes(span_hashes(w.data, w.start, w.end), w.first, shingle)
+    return [np.unique(hashes[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BANDS keys for each set; none of the sets is empty."""
+    data, first = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets)])[:-1]
+    out = np.empty((len(sets), BANDS), dtype=U64)
+    for band in range(BANDS):
+        key = np.full(len(sets), band, dtype=U64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            key = mix(key ^ np.minimum.reduceat(data * _FACTORS[k] + _SHIFTS[k], first)) + U64(0x9E3779B97F4A7C15)
+        out[:, band] = key
+    return out
+
+
+def _print(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), 11) - (1 << 63)
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    """(doc_id, print, keys) for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, 2 << 20):
+            sets = shingle_sets(block)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            keys: list = [[]] * len(sets)
+            if full:
+                for i, row in zip(full, band_keys([sets[i] for i in full]).view(np.int64), strict=True):
+                    keys[i] = row
+            yield pa.RecordBatch.from_pydict({"doc_id": block.ids, "print": pa.array([_print(s) for s in sets], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    return texts.mapInArrow(run, "doc_id bigint, print bigint, keys array<bigint>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(print, shingles) for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, 2 << 20):
+            sets = shingle_sets(block)
+            yield pa.RecordBatch.from_pydict({"print": pa.array([_print(s) for s in sets], pa.int64()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
+    return texts.mapInArrow(run, "print bigint, shingles array<bigint>")
+
+
+def _alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """Those of the pairs (a, b) of prints that share enough."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    ids = distinct.join(need, "print", "left_semi").select(loose(F.col("node")).alias("id")).distinct()
+    sets = _sets(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi")).join(need, "print", "left_semi").dropDuplicates(["print"])
+    sets = checkpointed(sets)
+    one, two = (sets.select(F.col("print").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("n", F.size(F.array_intersect("of_a", "of_b")))
+    return checkpointed(both.where(F.col("n") >= F.lit(share) * (F.size("of_a") + F.size("of_b") - F.col("n"))).select("a", "b"))
+
+
+def near_copies(df: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for each row; component_id is the smallest id reachable by links. Ids are integers."""
+    texts = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    keyed = checkpointed(_keyed(texts))
+    distinct = checkpointed(keyed.where("doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "keys")).alias("m")).select("print", F.col("m.doc_id").alias("node"), "m.keys"))
+    dealt = distinct.select("print", F.explode("keys").alias("key"))
+    least = dealt.groupBy("key").agg(F.min("print").alias("least"), F.count("*").alias("n")).where("n > 1").select(loose(F.col("key")).alias("shared"), "least")
+    met = checkpointed(dealt.join(least, F.col("key") == F.col("shared")).drop("shared"))
+    first = checkpointed(met.where("least < print").select(F.col("least").alias("a"), F.col("print").alias("b")).distinct())
+    links = _alike(first, distinct, texts, share)
+    found = components(links).select(loose(F.col("node")).alias("linked"), "component")
+    met = met.join(found, F.col("print") == F.col("linked"), "left").select("key", "print", F.coalesce("component", "print").alias("c"))
+    met = checkpointed(met)
+    mixed = met.groupBy("key").agg((F.min("c") < F.max("c")).alias("mixed")).where("mixed").select(loose(F.col("key")).alias("open"))
+    met = checkpointed(met.join(mixed, F.col("key") == F.col("open"), "left_semi"))
+    other = met.select(F.col("key").alias("key2"), F.col("print").alias("b"), F.col("c").alias("c2"))
+    rest = met.join(other, (F.col("key") == F.col("key2")) & (F.col("print") < F.col("b")) & (F.col("c") != F.col("c2")))
+    rest = checkpointed(rest.select(F.col("print").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti"))
+    found = components(links.unionAll(_alike(rest, distinct, texts, share))).select(loose(F.col("node")).alias("linked"), "component")
+    known = distinct.join(found, F.col("print") == F.col("linked"), "left").select("print", "node", F.coalesce("component", "print").alias("component"))
+    smallest = known.groupBy("component").agg(F.min("node").alias("component_id"))
+    known = known.join(smallest, "component").select(loose(F.col("print")).alias("of"), "component_id")
+    out = keyed.join(known, F.col("print") == F.col("of"), "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
