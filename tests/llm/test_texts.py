@@ -119,7 +119,7 @@ def test_tool_calls(spark):
     assert errors["k", "y"] == ["type:a", "unknown:q"] and got["k", "y", "f"]["level"] == 2 and errors["k", "z"] == ["tool"]
     assert errors["k", "p"] == ["circle", "json"] == errors["k", "q"] and errors["k", "r"] == ["circle", "missing:a"]
     assert errors[None, "x"] == ["id"] == errors["m", None] and errors["k", "w"] == ["orphan"] and errors["k", None] == ["id", "orphan"]
-    assert errors["m", "n"] == [] and errors["m", "n0"] == ["type:c", "type:d", "type:e", "type:o"] and got["m", "n", "f"]["level"] == 0
+    assert errors["m", "n"] == [] and errors["m", "n0"] == ["type:c", "type:d", "type:e", "type:o"] and got["m", "n", "f"]["level"] == 1
     assert chat.link_tool_calls(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
     plan = chat.link_tool_calls(calls, results, SCHEMAS)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
