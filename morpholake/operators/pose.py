@@ -75,6 +75,7 @@ def canonical(df: DataFrame, depth: Sequence[float] | None) -> DataFrame:
     df has points (array of x, y) and rotation. depth: a depth for each point in cheekbone widths. With a rotation whose
     upper left block can be inverted, yaw, pitch and roll are undone by those fixed depths; otherwise roll alone, from
     the line between the inner eye corners. Points need not be centred first: the origin is moved at the end.
+    To list canon's points use explode_outer: for explode, Spark infers a filter on canon and computes it twice.
     """
     r = lambda name: F.col("rotation")[name]
     p = lambda i, axis: F.col("points")[i][axis]
