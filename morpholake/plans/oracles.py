@@ -97,7 +97,7 @@ def scales() -> str:
 def canonical(turned: bool) -> str:
     source = f"{LANDMARKS}, {FLAT}" + (f", {TURNED}" if turned else "")
     shown = "vec_id, derotated" if turned else "vec_id"
-    return f"WITH {source} SELECT {shown}, i::INTEGER AS point, {rounded('canon[i + 1].x', 'x')}, {rounded('canon[i + 1].y', 'y')} FROM {'turned' if turned else 'flat'}, range({POINTS}) r(i) WHERE i % 7 = 0 OR i IN (133, 362)"
+    return f"WITH {source} SELECT {shown}, i::INTEGER AS point, {rounded('canon[i + 1].x', 'x')}, {rounded('canon[i + 1].y', 'y')} FROM {'turned' if turned else 'flat'}, range({POINTS}) r(i)"
 
 
 _POSE = f"""pose AS (
@@ -243,7 +243,7 @@ k AS (SELECT query_name, key, row_number() OVER (PARTITION BY query_name ORDER B
 SELECT query_name, position::INTEGER AS position, key AS suggestion FROM k WHERE position <= 3""",
     "cache_upsert": f"WITH {_ONTO}, {_CACHED} SELECT * FROM cache UNION ALL SELECT * FROM found WHERE query_name NOT IN (SELECT query_name FROM cache)",
     "resolve_with_cache": f"WITH {_ONTO}, {_CACHED} SELECT query_name, mondo_id, mondo_name, omim_xrefs, CASE WHEN lower(manual_override) = 'true' THEN 'manual' ELSE matched_via END AS matched_via, manual_override FROM cache WHERE query_name IN (SELECT name FROM nm) UNION ALL SELECT * FROM found WHERE query_name NOT IN (SELECT query_name FROM cache)",
-    "mapping_join_failures": f"""WITH {_ONTO}, ck AS (SELECT name AS cohort, mondo_id FROM (SELECT DISTINCT name FROM nm WHERE name LIKE '%arfan%' OR name LIKE 'un%' OR name LIKE '%oonan%') LEFT JOIN found ON name = query_name),
+    "mapping_join_failures": f"""WITH {_ONTO}, ck AS (SELECT name AS cohort, mondo_id FROM (SELECT DISTINCT name FROM nm) LEFT JOIN found ON name = query_name),
 kk AS (SELECT json_key, mondo_id FROM (VALUES ('MARFAN'), ('Large bolt'), ('widget 4'), ('Marfan syndrome')) t(json_key) LEFT JOIN found ON json_key = query_name),
 fk AS (SELECT mondo_id, min(json_key) AS json_key FROM kk WHERE mondo_id IS NOT NULL GROUP BY 1)
 SELECT cohort AS name, 'cohort_unresolved' AS problem FROM ck WHERE mondo_id IS NULL UNION ALL SELECT json_key, 'key_unresolved' FROM kk WHERE mondo_id IS NULL
