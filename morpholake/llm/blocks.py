@@ -6,6 +6,8 @@ reads (a single text is one row and is held whole).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -141,15 +143,35 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, spark.checkpoint.dir; where it is unset a new local one, which only a session on one machine may use."""
+    context = spark.sparkContext
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given
+    if (set_ := context._jsc.sc().getCheckpointDir()).isDefined():
+        return set_.get()
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the cluster's shared checkpoint folder, so lost executors cost nothing before it.
+    """df computed once and written as a table to the shared folder, so lost executors cost nothing before it.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests on one machine) is one set.
+    A table is read with its true size. What checkpoint() returns keeps the planner's estimate instead, and a join's is
+    the product of both sides': over a loop's rounds it grows to numbers that take the driver minutes to multiply.
     """
     spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+def dropped(df: DataFrame) -> None:
+    """Removes the table of a checkpointed df that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from morpholake.llm.blocks import checkpointed
+from morpholake.llm.blocks import checkpointed, dropped
 
 
 def loose(key: Column) -> Column:
@@ -46,5 +46,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if tuple(sums) == seen or not sums[0]:
             break
         seen = tuple(sums)
-        links = checkpointed(_star(_star(links, True), False))
+        before, links = links, checkpointed(_star(_star(links, True), False))
+        dropped(before)
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

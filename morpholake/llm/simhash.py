@@ -7,7 +7,17 @@ more than BUCKET fingerprints share is not joined with itself: each of its finge
 neighbours at one bit, and fingerprints that meet at such a value are within 2 bits of each other. At most 65 distinct
 ones can meet there, so that way is exact and grows with the number of fingerprints, however dense their group.
 
-Copies share a fingerprint and count once before anything is joined. Cases: a null text is empty; a text without words
+Copies share a fingerprint and count once before anything is joined.
+
+near_copies is the same way for a wide radius, verified by the texts: texts that share 0.8 of their five-word shingles
+lie about 15 % of the bits apart. Their fingerprints have 256 bits, over distinct shingles, and are split into blocks
+several times, each time in another order of bits. Pairs that differ in fewer bits than a split has blocks share one
+for certain; the number of splits is such that of pairs at NEAR bits one in 500 is missed. A block is as wide as the
+logarithm of the number of fingerprints, so that unlike ones rarely meet. What meets is compared by Hamming distance,
+and what is within FAR bits by its shingles. A block that more than MEET fingerprints share is not joined with itself:
+each is compared with the first and the last one, and after that only with those that are not yet in its component.
+
+Cases: a null text is empty; a text without words
 has fingerprint 0, which is linked like any other; a text of fewer words than a shingle has one shingle of them all;
 repeated ids keep a row each; rows without an id keep their fingerprint, and a null component_id; a table without rows
 gives none; other columns are ignored.
@@ -15,6 +25,7 @@ gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morpholake.llm.blocks import U64, Words, checkpointed, id_and_text, lanes, ragged, text_blocks, words
+from morpholake.llm.blocks import U64, Block, Words, checkpointed, id_and_text, lanes, mix, ragged, shingle_hashes, span_hashes, text_blocks, words
 from morpholake.llm.graph import components, loose
 
 #: Fingerprints that share a pair of blocks and are compared pair by pair, at most.
 BUCKET = 32
+#: For near copies: words of 64 bits of a fingerprint; bits at which one pair in 500 is missed; bits beyond which texts are
+#: not looked at, of all and of the first word; fingerprints that share a block and are compared pair by pair, at most.
+LANES, NEAR, FAR, FAR_FIRST, MEET, MISSED = 4, 40, 72, 26, 64, 0.002
+SHINGLE, SHARE = 5, 0.8
 # Fixed values of the XXH64 hash.
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -136,3 +151,178 @@ def near_duplicates(df: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     found = components(fingerprint_links(distinct)).select(loose(F.col("node")).alias("linked"), "component")
     known = distinct.join(found, F.col("node") == F.col("linked"), "left").select(loose(F.col("fp")).alias("print"), F.coalesce("component", "node").alias("component_id"))
     return prints.join(known, F.col("fp") == F.col("print"), "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def shingle_sets(block: Block, shingle: int) -> list[np.ndarray]:
+    """Each row's distinct shingle hashes, in order."""
+    w = words(block)
+    hashes, at = shingle_hashes(span_hashes(w.data, w.start, w.end), w.first, shingle)
+    return [np.unique(hashes[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def wide_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """LANES words of fingerprint for each set."""
+    at, every = np.cumsum([0, *(len(s) for s in sets)]), np.concatenate([*sets, np.zeros(0, dtype=U64)])
+    return np.stack([majority_bits(mix(every ^ mix(np.full(1, lane, dtype=U64))), at) for lane in range(1, LANES + 1)], axis=1)
+
+
+def _same(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), 11) - (1 << 63)
+
+
+_LANES = [f"f{i}" for i in range(LANES)]
+
+
+def _described(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, tie, same, n, f0, ..) for each row: a hash of its text, a hash and the number of its distinct shingles, and its wide fingerprint."""
+    texts = texts.withColumn("tie", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for block in text_blocks(iter([batch]), 2 << 20):
+                sets = shingle_sets(block, shingle)
+                prints = wide_prints(sets).view(np.int64)
+                columns = {"doc_id": block.ids, "tie": batch.column(2).slice(done, len(sets)), "same": pa.array([_same(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32())}
+                done += len(sets)
+                yield pa.RecordBatch.from_pydict(columns | {name: pa.array(np.ascontiguousarray(prints[:, i])) for i, name in enumerate(_LANES)})
+
+    return texts.mapInArrow(run, "doc_id bigint, tie bigint, same bigint, n int, " + ", ".join(f"{name} bigint" for name in _LANES))
+
+
+def block_splits(count: int) -> tuple[int, int]:
+    """Width of a block in bits, and number of splits, for so many fingerprints."""
+    width = min(32, max(16, math.ceil(math.log2(max(count, 2)))))
+    shared = (1 - NEAR / (64 * LANES)) ** width
+    return width, math.ceil(math.log(MISSED) / (64 * LANES // width * math.log(1 - shared)))
+
+
+def _dealt(distinct: DataFrame, width: int, splits: int) -> DataFrame:
+    """(key, same, n, f0) for each block of each fingerprint."""
+    blocks, bits = 64 * LANES // width, 64 * LANES
+    orders = [np.random.default_rng(k).permutation(bits)[: blocks * width] for k in range(splits)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 1024):
+                batch = whole.slice(i, 1024)
+                prints = np.stack([batch.column(2 + lane).to_numpy() for lane in range(LANES)], axis=1)
+                set_ = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
+                keys = []
+                for k, order in enumerate(orders):
+                    cut = set_[:, order].reshape(len(batch), blocks, width)
+                    code = np.packbits(np.pad(cut, ((0, 0), (0, 0), (0, 32 - width))), axis=2, bitorder="little").view("<u4")[:, :, 0].astype(np.int64)
+                    keys.append(((k * blocks + np.arange(blocks)) << 32) | code)
+                row = np.repeat(np.arange(len(batch)), blocks * splits)
+                take = lambda c: pa.array(batch.column(c).to_numpy()[row])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys, axis=1).ravel()), take(0), take(1), take(2)], ["key", "same", "n", "f0"])
+
+    return distinct.select("same", "n", *_LANES).mapInArrow(run, "key bigint, same bigint, n int, f0 bigint")
+
+
+def _meetings(sorted_by_key: DataFrame, share: float) -> DataFrame:
+    """(a, b) of those that share a key and may be near copies by their first word of bits and their numbers of shingles; MEET rows of a key at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 4  # key, same, n, f0
+        for batch in batches:
+            key, same, n, first = (np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True))
+            # The last key may go on in the next batch; its pairs are made again there, of all its rows.
+            tail = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            held = [x[tail:] for x in (key, same, n, first)]
+            step, found = 1, []
+            at = np.flatnonzero(key[1:] == key[:-1])
+            while len(at):
+                a, b = at, at + step
+                near = (np.bitwise_count((first[a] ^ first[b]).view(U64)) <= FAR_FIRST) & (np.minimum(n[a], n[b]) >= share * np.maximum(n[a], n[b]) - 1e-9) & (same[a] != same[b])
+                found.append(np.sort(np.stack((same[a[near]], same[b[near]])), axis=0))
+                step += 1
+                at = at[at + step < len(key)]
+                at = at[key[at] == key[at + step]]
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return sorted_by_key.mapInArrow(run, "a bigint, b bigint")
+
+
+def _alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, share: float, shingle: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose texts have enough shingles in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, 2 << 20):
+            sets = shingle_sets(block, shingle)
+            yield pa.RecordBatch.from_pydict({"same": pa.array([_same(s) for s in sets], pa.int64()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
+    def beside(df: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
+        for x in "ab":
+            df = df.join(other.select(F.col("same").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]).hint("merge"), x)
+        return df
+
+    bits = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in _LANES), F.lit(0))
+    close = checkpointed(beside(pairs, distinct, _LANES).where(bits <= FAR).select("a", "b"))
+    need = close.select(F.explode(F.array("a", "b")).alias("same")).distinct()
+    ids = distinct.join(need, "same", "left_semi").select(loose(F.col("node")).alias("id"), "same")
+    # A node's id may have other texts as well; only the one meant has this hash.
+    found = texts.join(ids.select("id"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(run, "same bigint, shingles array<bigint>")
+    sets = checkpointed(found.join(need, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")))
+    both = beside(close, sets, ["shingles"]).withColumn("n", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    return checkpointed(both.where(F.col("n") >= F.lit(share) * (F.size("shingles_a") + F.size("shingles_b") - F.col("n")) - 1e-9).select("a", "b"))
+
+
+def near_copies(df: DataFrame, share: float = SHARE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tie, component, component_id) for each row, linked by share or more of distinct shingles in common. Ids are integers.
+
+    tie: xxhash64 of the text; component: a number of the row's component; component_id: the smallest id in it. Texts
+    without words are copies of one another. Repeated ids keep a row for each of their texts, which may be of several
+    components; rows without an id link nothing and have neither.
+    """
+    texts = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    prints = checkpointed(_described(texts, shingle))
+    distinct = checkpointed(prints.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in ("n", *_LANES)]))
+    dealt = _dealt(distinct, *block_splits(distinct.count()))
+    hot = checkpointed(dealt.groupBy("key").count().where(F.col("count") > MEET).select(F.col("key").alias("hot")))
+    many = hot.count()
+    small = F.broadcast(hot) if many <= 1 << 16 else hot
+    cold = dealt.join(small, F.col("key") == F.col("hot"), "left_anti") if many else dealt
+    pairs = _meetings(cold.repartition("key").sortWithinPartitions("key").select("key", "same", "n", "f0"), share)
+    if many:
+        met = checkpointed(dealt.join(small, F.col("key") == F.col("hot"), "left_semi"))
+        ends = met.groupBy("key").agg(F.min("same").alias("least"), F.max("same").alias("most"))
+        ends = ends.select(loose(F.col("key")).alias("at"), F.explode(F.array_distinct(F.array("least", "most"))).alias("end"))
+        # Two ends for each fingerprint, of all its blocks; what that leaves apart is compared below.
+        by_end = met.join(ends, F.col("key") == F.col("at")).groupBy("same").agg(F.min("end").alias("x"), F.max("end").alias("y"))
+        by_end = by_end.select("same", F.explode(F.array("x", "y")).alias("end")).select(F.least("same", "end").alias("a"), F.greatest("same", "end").alias("b")).where("a < b")
+        pairs = pairs.unionAll(by_end)
+    pairs = checkpointed(pairs.distinct())
+    links = _alike(pairs, distinct, texts, share, shingle)
+    found = components(links).select(loose(F.col("node")).alias("linked"), "component")
+    if many:
+        known = met.join(found, F.col("same") == F.col("linked"), "left").select("key", "same", "n", "f0", F.coalesce("component", "same").alias("c"))
+        mixed = known.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select(loose(F.col("key")).alias("open"))
+        one = checkpointed(known.join(mixed, F.col("key") == F.col("open"), "left_semi"))
+        two = one.select(*[F.col(c).alias(f"{c}_") for c in one.columns])
+        near = (F.bit_count(F.col("f0").bitwiseXOR(F.col("f0_"))) <= FAR_FIRST) & (F.least("n", "n_") >= F.lit(share) * F.greatest("n", "n_") - 1e-9)
+        rest = one.join(two, (F.col("key") == F.col("key_")) & (F.col("same") < F.col("same_")) & (F.col("c") != F.col("c_")) & near).select(F.col("same").alias("a"), F.col("same_").alias("b")).distinct()
+        rest = checkpointed(rest.join(pairs, ["a", "b"], "left_anti"))
+        links = links.unionAll(_alike(rest, distinct, texts, share, shingle))
+        found = components(links).select(loose(F.col("node")).alias("linked"), "component")
+    known = distinct.join(found, F.col("same") == F.col("linked"), "left").select("same", "node", F.coalesce("component", "same").alias("component"))
+    smallest = known.groupBy("component").agg(F.min("node").alias("component_id")).withColumnRenamed("component", "c")
+    known = known.join(smallest, F.col("component") == F.col("c")).select(loose(F.col("same")).alias("of"), "component", "component_id")
+    out = prints.join(known, F.col("same") == F.col("of"), "left")
+    has = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "tie", F.when(has, F.col("component")).alias("component"), F.when(has, F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, share: float = SHARE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each group of near copies, that of the smallest id (then of the smallest hash of its text); rows without an id all stay."""
+    own_id, own_tie = (next(n + "_" * k for k in range(2, 99) if n + "_" * k not in df.columns) for n in ("id", "tie"))
+    rows = checkpointed(near_copies(df, share, shingle, id_col, text_col).where("doc_id is not null").groupBy("doc_id", "tie").agg(F.min("component").alias("component"), F.count("*").alias("rows")))
+    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("keep")).withColumnRenamed("component", "c")
+    judged = rows.join(chosen, F.col("component") == F.col("c")).select(F.col("doc_id").alias(own_id), F.col("tie").alias(own_tie), "rows", ((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("tie") != F.col("keep.tie"))).alias("goes"))
+    judged = checkpointed(judged.where("goes or rows > 1"))
+    mine = (F.col(id_col).cast("bigint") == F.col(own_id)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(own_tie))
+    stays = df.join(judged.select(own_id, own_tie), mine, "left_anti")
+    again = judged.where("not goes").select(own_id, own_tie)
+    return stays if again.isEmpty() else stays.unionAll(df.join(again, mine, "left_semi").dropDuplicates([id_col]))

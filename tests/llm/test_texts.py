@@ -13,8 +13,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from morpholake.llm import chat, lm, pii, simhash, toxicity
+from morpholake.llm import chat, lm, pii, toxicity
 from morpholake.llm.queries import ORACLE_SQL, QUERIES
+from test_whole_near import survivors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -178,8 +179,8 @@ def test_pipeline(spark, tmp_path):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     clean = {i for i, t in rows.items() if toxicity.block_scores(toxicity._block([t]), model)[0] < toxicity.THRESHOLD}
     assert {r["doc_id"] for r in frames[1].collect()} == clean and frames[1].columns == docs.columns
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frames[1]).collect()}
-    single = {i for i in clean if groups[i] == i}
+    ordered = sorted(clean)
+    single = {ordered[i] for i in survivors([rows[i] for i in ordered])}
     assert {r["doc_id"] for r in frames[2].collect()} == single and len(single) < len(clean) and frames[2].columns == docs.columns
     for r in frames[3].collect():
         expected = pii.redact(rows[r["doc_id"]], pii.find_spans(rows[r["doc_id"]]))
