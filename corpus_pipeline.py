@@ -11,10 +11,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from morpholake.llm import near, packing, pii, toxicity
-from morpholake.llm.graph import loose
+from morpholake.llm import packing, pii, simhash, toxicity
 
 #: No SQL expresses the hashes, the tokenizer or the fitted model; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -26,10 +24,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the smallest id of their component, linked by 0.8 or more of their five-word shingles; repeated ids, and rows without an id, all stay."""
-    found = near.near_copies(docs.select("doc_id", "text"))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(loose(F.col("doc_id")).alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One document of each group of near copies, with the smallest id; linked by 0.8 or more of their five-word shingles. Rows without an id all stay."""
+    return simhash.one_of_each(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
