@@ -1,18 +1,20 @@
 """Stupid-backoff scores of documents by the n-gram counts of all other documents.
 
-score(w | h) = c(h w) / c(h) if c(h w) > 0, else ALPHA * c(w) / N; a row's first word has c(w) / N. Counts are those of
-the whole corpus less the row's own (leave one out), so that a text does not vouch for itself; a word that no other row
-has counts as half a word. N: words of all other rows (1 at least). Words are lower-cased runs without white space.
-
-The joins are relational, on n-gram keys dealt by hash, but rows travel as vectors: a task turns a block of documents
-into one row for each bucket, which holds the block's n-grams of that bucket in columns.
- 1. Word counts: each task's counts are dealt by word and added up: the unigram table.
- 2. Bigrams: each block's distinct (document, bigram) pairs, with the document's own counts, are dealt by bigram. In its
-    bucket a bigram is counted, each pair is scored, and a vector of sums by document goes back to the block.
- 3. The TOP_WORDS most frequent words' counts (a bounded table) are broadcast. What step 2 needs of any other word is
-    dealt by word and joined with the unigram table, and its sums go back as well.
- 4. The vectors of a block are added up.
-No bucket depends on one word: a frequent bigram has one entry for each document. Nothing is capped or sampled.
+score(w | h) = c(h w) / c(h) if c(h w) > 0, else ALPHA * score(w | h less its first word); without a context it is
+c(w) / N. A word's context h is the ORDER - 1 words before it, as many as its row has. Counts are those of the whole
+corpus less the row's own (leave one out), so that a text does not vouch for itself; a word that no other row has counts
+as half a word. N: words of all other rows (1 at least). Words are lower-cased runs without white space.
+
+It is a join of exploded n-grams with count tables that are partitioned by hash, in columns instead of rows:
+ 1. Documents are gathered into units of about UNIT bytes, and dealt by unit.
+ 2. A unit's n-grams of all orders are added up to its distinct ones, sorted by hash, and cut into hash ranges: a row
+    for each unit and bucket. (This is the partial aggregation: an n-gram costs a unit one entry, however frequent.)
+ 3. A bucket is a part of the count table. It adds up its units' entries and answers each unit's row with the counts
+    that all other units have, entry by entry.
+ 4. A unit meets the answers to its rows, takes each document's own n-grams off, and sums the scores by document.
+
+The number of buckets grows with the text, so that a bucket's size does not; entries are never dropped or sampled, and
+nothing is broadcast. A unit writes no more rows than it has entries. N-grams are told apart by KEY_BITS bits of hash.
 
 Cases: a null text is empty; a text without words has score 0.0 of 0 words; repeated rows and ids are rows of their own
 (each other's evidence, too); a null id stays null; a table without rows gives none; other columns are ignored.
@@ -26,307 +28,190 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morpholake.llm.blocks import U64, Block, checkpointed, id_and_text, mix, span_hashes, text_blocks, words
 
-ALPHA, TOP_WORDS = 0.4, 1 << 20
-#: Entries that a task gathers before it hands them on.
-GATHER = 4_000_000
-WIDE = np.dtype([("key", "<u8"), ("context", "<u8"), ("word", "<u8"), ("times", "<u4"), ("own_context", "<u4"), ("own_word", "<u4")])
-ASK = np.dtype([("word", "<u8"), ("row", "<u4"), ("times", "<i4"), ("own", "<u4")])
-TABLE, BASE, BIGRAMS, SUMS, ASKS = range(5)  # in each group the lower ones come first
-_SHAPE = "bucket int, kind int, unit bigint, rows int, a binary, b binary, c binary, d binary"
-_NAMES = ["bucket", "kind", "unit", "rows", "a", "b", "c", "d"]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], _NAMES)
-
-
-def _dealt(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(key).sortWithinPartitions(key, "kind", "unit")
-
-
-def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[dict]]]:
-    """Rows of a sorted partition, by key, one at a time."""
-    rows = ({name: batch.column(i)[r].as_py() for i, name in enumerate(_NAMES)} for batch in batches for r in range(len(batch)))
-    yield from groupby(rows, key=lambda r: r[key])
-
-
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> U64(20)) % U64(buckets)).astype(np.int64)
-
-
-def _added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    names, group = np.unique(hashes, return_inverse=True)
-    return names, np.bincount(group, weights=counts, minlength=len(names)).astype(np.int64)
-
-
-def _unigrams(texts: DataFrame, buckets: int) -> DataFrame:
-    """The unigram table: for each bucket the words' hashes (a) and counts (b)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            names, counts = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            at = _bucket(names, buckets)
-            order = np.argsort(at, kind="stable")
-            cut = np.searchsorted(at[order], np.arange(buckets + 1))
-            names, counts = names[order], counts[order].astype("<u4")
-            return _batch([(k, TABLE, 0, 0, names[i:j].tobytes(), counts[i:j].tobytes(), b"", b"") for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
+ALPHA, ORDER = 0.4, 3
+#: Bytes of text of a unit, and characters of text for each bucket.
+UNIT, BUCKET_CHARS = 4 << 20, 12 << 20
+KEY_BITS = 60
+_UNITS = "unit bigint, ids binary, valid binary, offsets binary, data binary"
+_ENTRIES = "unit bigint, bucket int, n bigint, keys binary, counts binary"
+_ANSWERS = "unit bigint, bucket int, n bigint, others binary"
+_SCORES = "doc_id bigint, n_tokens bigint, n_backoff bigint, n_base bigint, part double"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes: the planes of small numbers' upper bytes take no room."""
+    return zstandard.ZstdCompressor(1).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _batch(schema: str, *columns: list) -> pa.RecordBatch:
+    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+class Grams:
+    """All n-grams of a block: order 1 first, each order's in the order of their places."""
+
+    def __init__(self, block: Block, order: int):
+        w = words(block)
+        self.rows, self.length = len(block.offsets) - 1, np.diff(w.first)
+        row = np.repeat(np.arange(self.rows), self.length)
+        one = last = span_hashes(w.data, w.start, w.end)
+        self.place, keys = [], []  # of each order: the place of the n-gram's first word
+        at = np.arange(len(one))
+        for k in range(1, order + 1):
+            if k > 1:
+                fits = at[at + k - 1 < len(one)]
+                fits = fits[row[fits] == row[fits + k - 1]]
+                last = mix(last[np.searchsorted(at, fits)] + U64(0x9E3779B97F4A7C15)) ^ one[fits + k - 1]
+                at = fits
+            self.place.append(at)
+            keys.append(mix(last + U64(k)) >> U64(64 - KEY_BITS))
+        self.row = row
+        self.key = np.concatenate(keys)
+        self.of_row = np.concatenate([row[p] for p in self.place])
+        self.cut = np.cumsum([0, *map(len, keys)])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.key, return_counts=True)
+
+    def others(self, elsewhere: np.ndarray) -> np.ndarray:
+        """For each n-gram its count in all other rows; elsewhere: of each distinct key, in order, its count in other units."""
+        order = np.argsort(self.key, kind="stable")  # rows ascend within a key
+        key, row = self.key[order], self.of_row[order]
+        new_key = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
+        new_own = new_key | np.concatenate(([True], row[1:] != row[:-1])) if len(key) else new_key
+        each = lambda new: np.diff(np.append(np.flatnonzero(new), len(new)))
+        out = np.empty(len(order), dtype=np.int64)
+        here = np.repeat(each(new_key) + elsewhere, each(new_key)) - np.repeat(each(new_own), each(new_own))
+        out[order] = here
+        return out
+
+
+def _scores(g: Grams, elsewhere: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row: backoff steps, words scored without a context, and the sum of the scores but for those words' -ln N."""
+    count = g.others(elsewhere)
+    of = [count[i:j] for i, j in zip(g.cut[:-1], g.cut[1:], strict=True)]
+    n = len(of[0])
+    score, done = np.zeros(n), np.zeros(n, dtype=bool)
+    steps = np.zeros(n, dtype=np.int64)
+    for k in range(len(of), 1, -1):
+        first = g.place[k - 1]
+        word = first + k - 1
+        c, context = of[k - 1], of[k - 2][np.searchsorted(g.place[k - 2], first)]
+        ask = ~done[word]
+        hit = ask & (c > 0)
+        score[word[hit]] += np.log(c[hit] / context[hit])
+        done[word[hit]] = True
+        miss = word[ask & ~hit]
+        score[miss] += math.log(alpha)
+        steps[miss] += 1
+    score[~done] += np.log(np.maximum(of[0][~done], 0.5))
+    total = lambda x: np.bincount(g.row, weights=x, minlength=g.rows)
+    return total(steps).astype(np.int64), total(~done).astype(np.int64), total(score)
+
+
+def _units(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, press = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(3)
+        for block in text_blocks(batches, UNIT):
+            ids = block.ids.cast(pa.int64())
+            valid = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), dtype=np.uint8)
+            known = np.asarray(ids.fill_null(0)).astype("<i8")
+            yield _batch(_UNITS, [unit], [known.tobytes()], [valid.tobytes()], [block.offsets.astype("<i8").tobytes()], [press.compress(block.data)])
+            unit += 1
 
-        for block in text_blocks(batches):
-            w = words(block)
-            held.append(np.unique(span_hashes(w.data, w.start, w.end), return_counts=True))
-            if sum(len(x[0]) for x in held) > GATHER:
-                yield out()
-                held = []
-        if held:
-            yield out()
+    return texts.mapInArrow(run, _UNITS)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by(batches, "bucket"):
-            parts = [(np.frombuffer(r["a"], dtype="<u8"), np.frombuffer(r["b"], dtype="<u4")) for r in rows]
-            names, counts = _added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            yield _batch([(bucket, TABLE, 0, 0, names.tobytes(), counts.astype("<i8").tobytes(), b"", b"")])
 
-    return checkpointed(_dealt(texts.mapInArrow(count, _SHAPE), "bucket").mapInArrow(add, _SHAPE))
+def _block(offsets: bytes, data: bytes) -> Block:
+    return Block(None, zstandard.ZstdDecompressor().decompress(data), np.frombuffer(offsets, dtype="<i8"))
 
 
-def _top(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of words of the corpus, and hashes (sorted) and counts of the most frequent ones: all from a count on, as long as they are no more than most."""
-    ceiling = 1 << 16
+def _entries(units: DataFrame, order: int, buckets: int) -> DataFrame:
+    """Each unit's distinct n-grams with their counts, a row for each bucket that has any."""
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array([(b << KEY_BITS) // buckets for b in range(buckets + 1)], dtype=U64)
         for batch in batches:
-            for b in batch.column(5):
-                counts = np.frombuffer(b.as_py(), dtype="<i8")
-                low, group, n = np.unique(np.minimum(counts, ceiling), return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"least": low, "n": n, "tokens": np.bincount(group, weights=counts).astype(np.int64)})
-
-    bins = table.mapInArrow(histogram, "least bigint, n bigint, tokens bigint").groupBy("least").agg(F.sum("n"), F.sum("tokens")).orderBy(F.desc("least")).collect()
-    least, so_far = ceiling + 1, 0
-    for count, n, _ in bins:
-        so_far += n
-        if so_far > most:
-            break
-        least = count
-    total = sum(r[2] for r in bins)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(4), batch.column(5), strict=True):
-                counts = np.frombuffer(b.as_py(), dtype="<i8")
-                keep = counts >= least
-                yield pa.RecordBatch.from_pydict({"a": pa.array([np.frombuffer(a.as_py(), dtype="<u8")[keep].tobytes()], pa.binary()), "b": pa.array([counts[keep].tobytes()], pa.binary())})
-
-    got = table.mapInArrow(frequent, "a binary, b binary").toArrow()
-    names = np.frombuffer(b"".join(got["a"].to_pylist()), dtype="<u8")
-    counts = np.frombuffer(b"".join(got["b"].to_pylist()), dtype="<i8")
-    order = np.argsort(names)
-    return total, names[order], counts[order]
-
-
-def _code(top: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Places of hashes in top; -1: not there."""
-    if not len(top):
-        return np.full(len(hashes), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(top, hashes), len(top) - 1)
-    return np.where(top[at] == hashes, at, -1)
-
-
-def _own(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place how often its hash occurs in its row, and whether it is the first there."""
-    _, first, group, count = np.unique(mix(hashes ^ mix(row.astype(U64))), return_index=True, return_inverse=True, return_counts=True)
-    is_first = np.zeros(len(hashes), dtype=bool)
-    is_first[first] = True
-    return count[group], is_first
-
-
-def _asks(word: np.ndarray, row: np.ndarray, times: np.ndarray, own: np.ndarray) -> np.ndarray:
-    out = np.empty(len(word), dtype=ASK)
-    out["word"], out["row"], out["times"], out["own"] = word, row, times, own
-    return out
-
-
-def _ask_rows(asks: np.ndarray, unit: int, rows: int, buckets: int) -> list[tuple]:
-    at = _bucket(asks["word"], buckets)
-    order = np.argsort(at, kind="stable")
-    cut = np.searchsorted(at[order], np.arange(buckets + 1))
-    return [(k, ASKS, unit, rows, asks[order[i:j]].tobytes(), b"", b"", b"") for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-
-
-def _block_rows(block: Block, unit: int, top: np.ndarray, top_counts: np.ndarray, buckets: int) -> list[tuple]:
-    """What a block of documents sends out."""
-    w = words(block)
-    n = len(block.offsets) - 1
-    h = span_hashes(w.data, w.start, w.end)
-    row = np.repeat(np.arange(n), np.diff(w.first))
-    code = _code(top, h)
-    own, _ = _own(row, h)
-    ids = block.ids.cast(pa.int64())
-    sums = np.zeros(n)
-    head = w.first[:-1][np.diff(w.first) > 0]
-    known = head[code[head] >= 0]
-    sums[row[known]] = np.log(np.maximum(top_counts[code[known]] - own[known], 0.5))
-    rest = head[code[head] < 0]
-    out = _ask_rows(_asks(h[rest], row[rest], np.ones(len(rest)), own[rest]), unit, n, buckets)
-    valid = np.array(ids.is_valid().to_numpy(zero_copy_only=False), dtype=np.uint8)
-    out.append((unit % buckets, BASE, unit, n, np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), valid.tobytes(), np.diff(w.first).astype("<i8").tobytes(), sums.tobytes()))
-    left = np.flatnonzero(row[1:] == row[:-1])
-    pair = mix(mix(h[left]) + h[left + 1])
-    times, first = _own(row[left], pair)
-    left, pair, times = left[first], pair[first], times[first]
-    bucket = _bucket(pair, buckets)
-    right = left + 1
-    short = (code[left] >= 0) & (code[right] >= 0) & (times < 256) & (own[left] < 256) & (own[right] < 256)
-    wide = np.empty(int((~short).sum()), dtype=WIDE)
-    a, b = left[~short], right[~short]
-    both = (code[a] >= 0) & (code[b] >= 0)
-    wide["key"] = np.where(both, (code[a] << 20 | code[b]).astype(U64), pair[~short] | U64(1 << 63))
-    wide["context"], wide["word"], wide["times"], wide["own_context"], wide["own_word"] = h[a], h[b], times[~short], own[a], own[b]
-    for mask, kind in ((short, 0), (~short, 1)):
-        at, rows_ = bucket[mask], row[left[mask]]
-        order = np.argsort(at, kind="stable")
-        cut = np.searchsorted(at[order], np.arange(buckets + 1))
-        each = np.bincount(at * n + rows_, minlength=buckets * n).reshape(buckets, n).astype("<u4") if len(at) else None
-        x, y = left[mask][order], right[mask][order]
-        keys = (code[x] << 20 | code[y]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        small = np.stack((times[mask][order], own[x], own[y])).astype(np.uint8) if kind == 0 else None
-        for k in range(buckets):
-            i, j = cut[k], cut[k + 1]
-            if j > i:
-                # Counts of their own columns, since nearly all are 1 and compress to nothing.
-                out.append((k, BIGRAMS, unit, n, each[k].tobytes(), *((keys[i:j].tobytes(), small[:, i:j].tobytes(), b"") if kind == 0 else (b"", b"", wide[order[i:j]].tobytes()))))
-    return out
-
-
-def _short(r: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the three small counts (times, own context, own word) of a row of short entries."""
-    five = np.frombuffer(r["b"], dtype=np.uint8).reshape(-1, 5)
-    eight = np.zeros((len(five), 8), dtype=np.uint8)
-    eight[:, :5] = five
-    return eight.view("<u8").ravel(), np.frombuffer(r["c"], dtype=np.uint8).reshape(3, -1)
-
-
-def _scored(rows: list[dict], top: np.ndarray, top_counts: np.ndarray, buckets: int, alpha: float) -> Iterator[tuple]:
-    """What a bucket of bigrams sends back (SUMS) and asks for (ASKS). All that is held for the whole bucket is a key and a count for each entry."""
-    keys, times = [], []
-    for r in rows:
-        if r["d"]:
-            wide = np.frombuffer(r["d"], dtype=WIDE)
-            keys.append(wide["key"])
-            times.append(wide["times"].astype(np.int32))
-        else:
-            key, small = _short(r)
-            keys.append(key)
-            times.append(small[0].astype(np.int32))
-    cut = np.cumsum([0, *map(len, keys)])
-    key, times = np.concatenate(keys), np.concatenate(times)
-    del keys
-    order = np.argsort(key)
-    key = key[order]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    del key
-    total = np.add.reduceat(times[order].astype(np.int64), head)
-    others = np.empty(len(order), dtype=np.int64)
-    others[order] = np.repeat(total, np.diff(np.append(head, len(order))))
-    others -= times
-    del order, head, total
-    for i, r in enumerate(rows):
-        n, c = times[cut[i] : cut[i + 1]].astype(np.int64), others[cut[i] : cut[i + 1]]
-        seen = c > 0
-        if r["d"]:
-            wide = np.frombuffer(r["d"], dtype=WIDE)
-            asked = np.where(seen, wide["context"], wide["word"])
-            code = _code(top, asked)
-            own = np.where(seen, wide["own_context"], wide["own_word"]).astype(np.int64)
-        else:
-            key, small = _short(r)
-            asked = np.zeros(0, dtype=U64)
-            code = np.where(seen, key >> U64(20), key & U64((1 << 20) - 1)).astype(np.int64)
-            own = np.where(seen, small[1], small[2]).astype(np.int64)
-        signed = np.where(seen, -n, n)
-        value = np.where(seen, n * np.log(np.maximum(c, 1)), n * math.log(alpha))
-        known = code >= 0
-        if known.any():
-            value[known] += signed[known] * np.log(np.maximum(top_counts[code[known]] - own[known], 0.5))
-        place = np.repeat(np.arange(r["rows"]), np.frombuffer(r["a"], dtype="<u4"))
-        back = np.bincount(place, weights=np.where(seen, 0, n), minlength=r["rows"]).astype("<u4")
-        yield (0, SUMS, r["unit"], r["rows"], np.bincount(place, weights=value, minlength=r["rows"]).tobytes(), back.tobytes(), b"", b"")
-        if not known.all():
-            want = np.flatnonzero(~known)
-            yield from _ask_rows(_asks(asked[want], place[want], signed[want], own[want]), r["unit"], r["rows"], buckets)
-
-
-def score_documents(df: DataFrame, alpha: float = ALPHA, top_words: int = TOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_backoff, log_score) for each row: the sum of the natural logarithms of its words' scores. Ids are integers."""
-    if top_words > 1 << 20:
-        raise ValueError("words have 20-bit codes")
+            for unit, offsets, data in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                key, count = Grams(_block(offsets.as_py(), data.as_py()), order).distinct()
+                cut = np.searchsorted(key, bounds)
+                full = np.flatnonzero(np.diff(cut))
+                for some in np.array_split(full, -(-len(full) // 64) or 1):
+                    parts = [(int(b), slice(int(cut[b]), int(cut[b + 1]))) for b in some]
+                    keys = [_packed(np.diff(key[s], prepend=U64(0))) for _, s in parts]
+                    yield _batch(_ENTRIES, [unit] * len(parts), [b for b, _ in parts], [s.stop - s.start for _, s in parts], keys, [_packed(count[s]) for _, s in parts])
+
+    return units.mapInArrow(run, _ENTRIES)
+
+
+def _answers(entries: DataFrame) -> DataFrame:
+    """To each row of entries the counts that other units have of its n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b, u, n, k, c) for batch in batches for u, b, n, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True))
+        for bucket, group in groupby(rows, key=lambda r: r[0]):
+            unit, keys, counts = [], [], []
+            for _, u, _, k, c in group:
+                unit.append(u)
+                keys.append(np.cumsum(_unpacked(k), dtype=U64))
+                counts.append(_unpacked(c).astype(np.uint32))
+            cut = np.cumsum([0, *map(len, keys)])
+            key, count = np.concatenate(keys), np.concatenate(counts)
+            del keys, counts
+            order = np.argsort(key)
+            key = key[order]
+            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            del key
+            total = np.add.reduceat(count[order].astype(np.int64), head)
+            others = np.empty(len(order), dtype=np.int64)
+            others[order] = np.repeat(total, np.diff(np.append(head, len(order))))
+            others -= count
+            del order, head, total, count
+            for i in range(0, len(unit), 64):
+                part = range(i, min(i + 64, len(unit)))
+                yield _batch(_ANSWERS, [unit[k] for k in part], [bucket] * len(part), [int(cut[k + 1] - cut[k]) for k in part], [_packed(others[cut[k] : cut[k + 1]]) for k in part])
+
+    return entries.repartition("bucket").sortWithinPartitions("bucket", "unit").mapInArrow(run, _ANSWERS)
+
+
+def _met(units: DataFrame, answers: DataFrame, order: int, alpha: float) -> DataFrame:
+    def score(one: pa.Table, found: pa.Table) -> pa.Table:
+        r = one.to_pylist()[0]
+        g = Grams(_block(r["offsets"], r["data"]), order)
+        rows = sorted(found.select(["bucket", "others"]).to_pylist(), key=lambda x: x["bucket"])
+        elsewhere = np.concatenate([*(_unpacked(x["others"]).astype(np.int64) for x in rows), np.zeros(0, dtype=np.int64)])
+        if len(elsewhere) != len(np.unique(g.key)):
+            raise RuntimeError("a unit's texts changed between two readings: documents must be read in an order that does not vary")
+        steps, base, part = _scores(g, elsewhere, alpha)
+        ids = pa.array(np.frombuffer(r["ids"], dtype="<i8"), mask=np.frombuffer(r["valid"], dtype=np.uint8) == 0)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([ids, pa.array(g.length.astype(np.int64)), pa.array(steps), pa.array(base), pa.array(part)], [f.split()[0] for f in _SCORES.split(", ")])])
+
+    return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(score, _SCORES)
+
+
+def score_documents(df: DataFrame, alpha: float = ALPHA, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_backoff, log_score) for each row: its words, the times a shorter context was taken, and the sum of the natural logarithms of its words' scores. Ids are integers."""
+    if order < 1:
+        raise ValueError("the order is that of unigrams, 1, or more")
     texts = id_and_text(df.withColumn(id_col, F.col(id_col).cast("bigint")), id_col, text_col)
-    buckets = max(32, texts.rdd.getNumPartitions())
-    table = _unigrams(texts, buckets)
-    total, names, counts = _top(table, top_words)
-    top = df.sparkSession.sparkContext.broadcast((names, counts))
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = TaskContext.get().partitionId() << 32
-        for block in text_blocks(batches):
-            yield _batch(_block_rows(block, unit, *top.value, buckets))
-            unit += 1
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by(batches, "bucket"):
-            bigrams = []
-            for r in rows:
-                if r["kind"] == BIGRAMS:
-                    bigrams.append(r)
-                else:
-                    yield _batch([tuple(r[x] for x in _NAMES)])
-            if bigrams:
-                yield _batch(list(_scored(bigrams, *top.value, buckets, alpha)))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by(batches, "bucket"):
-            known, amount = np.zeros(0, dtype="<u8"), np.zeros(0, dtype="<i8")
-            asks: list[dict] = []
-            for r in rows:
-                if r["kind"] == TABLE:
-                    known, amount = np.frombuffer(r["a"], dtype="<u8"), np.frombuffer(r["b"], dtype="<i8")
-                else:
-                    asks.append(r)
-            done = []
-            for r in asks:
-                x = np.frombuffer(r["a"], dtype=ASK)
-                at = _code(known, x["word"])
-                value = x["times"] * np.log(np.maximum(np.where(at >= 0, amount[at], 0) - x["own"].astype(np.int64), 0.5))
-                done.append((0, SUMS, r["unit"], r["rows"], np.bincount(x["row"], weights=value, minlength=r["rows"]).tobytes(), b"", b"", b""))
-            if done:
-                yield _batch(done)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by(batches, "unit"):
-            base, sums, back = None, 0.0, 0
-            for r in rows:
-                if r["kind"] == BASE:
-                    base = r
-                    sums = sums + np.frombuffer(r["d"])
-                else:
-                    sums = sums + np.frombuffer(r["a"])
-                    back = back + np.frombuffer(r["b"], dtype="<u4").astype(np.int64) if r["b"] else back
-            n = np.frombuffer(base["c"], dtype="<i8")
-            back = np.zeros(len(n), dtype=np.int64) + back
-            score = np.where(n > 0, sums - (back + 1) * np.log(np.maximum(total - n, 1)), 0.0)
-            ids = pa.array(np.frombuffer(base["a"], dtype="<i8"), mask=np.frombuffer(base["b"], dtype=np.uint8) == 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(back), pa.array(score)], ["doc_id", "n_tokens", "n_backoff", "log_score"])
-
-    met = checkpointed(_dealt(texts.mapInArrow(out, _SHAPE), "bucket").mapInArrow(meet, _SHAPE))
-    answered = _dealt(table.unionAll(met.where(F.col("kind") == ASKS)), "bucket").mapInArrow(answer, _SHAPE)
-    back = met.where(F.col("kind") != ASKS).unionAll(answered)
-    return _dealt(back, "unit").mapInArrow(add, "doc_id bigint, n_tokens bigint, n_backoff bigint, log_score double")
-
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(32, -(-size // BUCKET_CHARS))
+    units = _units(texts).repartition("unit")
+    scored = checkpointed(_met(units, _answers(_entries(units, order, buckets)), order, alpha))
+    total = scored.agg(F.sum("n_tokens")).first()[0] or 0
+    others = F.greatest(F.lit(total) - F.col("n_tokens"), F.lit(1)).cast("double")
+    return scored.select("doc_id", "n_tokens", "n_backoff", F.when(F.col("n_tokens") > 0, F.col("part") - F.col("n_base") * F.log(others)).otherwise(0.0).alias("log_score"))

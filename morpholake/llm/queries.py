@@ -142,20 +142,27 @@ WITH spoken AS (
   FROM documents),
 n AS (SELECT doc_id, len(w) AS n_tokens, sum(len(w)) OVER () AS total FROM spoken),
 t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM spoken),
-p AS (SELECT doc_id, place, word, lag(word) OVER (PARTITION BY doc_id ORDER BY place) AS context FROM t),
-c AS (
-  SELECT *, count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY doc_id, word) AS c_word,
-    count(*) OVER (PARTITION BY context, word) - count(*) OVER (PARTITION BY doc_id, context, word) AS c_both FROM p),
-h AS (SELECT word, count(*) AS n FROM t GROUP BY ALL),
-hd AS (SELECT doc_id, word, count(*) AS n FROM t GROUP BY ALL),
+p AS (
+  SELECT doc_id, place, word AS w, lag(word) OVER d AS v, lag(word, 2) OVER d AS u FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+c1 AS (SELECT w, doc_id, count(*) AS own, sum(count(*)) OVER (PARTITION BY w) AS n FROM p GROUP BY w, doc_id),
+c2 AS (SELECT v, w, doc_id, count(*) AS own, sum(count(*)) OVER (PARTITION BY v, w) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w, doc_id),
+c3 AS (SELECT u, v, w, doc_id, count(*) AS own, sum(count(*)) OVER (PARTITION BY u, v, w) AS n FROM p WHERE u IS NOT NULL GROUP BY u, v, w, doc_id),
+k AS (
+  SELECT p.doc_id, p.v, p.u, greatest(c1.n - c1.own, 0.5)::DOUBLE / greatest(total - n_tokens, 1) AS s1,
+    c2.n - c2.own AS n2, (c2.n - c2.own)::DOUBLE / nullif(h1.n - h1.own, 0) AS s2,
+    c3.n - c3.own AS n3, (c3.n - c3.own)::DOUBLE / nullif(h2.n - h2.own, 0) AS s3
+  FROM p JOIN n ON n.doc_id = p.doc_id JOIN c1 ON c1.doc_id = p.doc_id AND c1.w = p.w
+  LEFT JOIN c2 ON c2.doc_id = p.doc_id AND c2.v = p.v AND c2.w = p.w
+  LEFT JOIN c3 ON c3.doc_id = p.doc_id AND c3.u = p.u AND c3.v = p.v AND c3.w = p.w
+  LEFT JOIN c1 h1 ON h1.doc_id = p.doc_id AND h1.w = p.v
+  LEFT JOIN c2 h2 ON h2.doc_id = p.doc_id AND h2.v = p.u AND h2.w = p.v),
 s AS (
-  SELECT c.doc_id, CASE
-      WHEN context IS NULL THEN ln(greatest(c_word, 0.5)::DOUBLE / greatest(total - n_tokens, 1))
-      WHEN c_both > 0 THEN ln(c_both::DOUBLE / (h.n - hd.n))
-      ELSE ln(0.4 * greatest(c_word, 0.5)::DOUBLE / greatest(total - n_tokens, 1)) END AS score,
-    context IS NOT NULL AND c_both = 0 AS back
-  FROM c JOIN n USING (doc_id) LEFT JOIN h ON h.word = c.context LEFT JOIN hd ON hd.doc_id = c.doc_id AND hd.word = c.context)
-SELECT n.doc_id, n_tokens::BIGINT AS n_tokens, coalesce(sum(back::INT), 0)::BIGINT AS n_backoff, round(coalesce(sum(score), 0.0), 4) AS log_score
+  SELECT doc_id,
+    CASE WHEN n3 > 0 THEN ln(s3) WHEN n2 > 0 THEN ln(s2) + CASE WHEN u IS NULL THEN 0 ELSE ln(0.4) END
+      ELSE ln(s1) + CASE WHEN v IS NULL THEN 0 WHEN u IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS score,
+    CASE WHEN n3 > 0 THEN 0 WHEN n2 > 0 THEN (u IS NOT NULL)::INT ELSE (v IS NOT NULL)::INT + (u IS NOT NULL)::INT END AS back
+  FROM k)
+SELECT n.doc_id, n_tokens::BIGINT AS n_tokens, coalesce(sum(back), 0)::BIGINT AS n_backoff, round(coalesce(sum(score), 0.0), 4) AS log_score
 FROM n LEFT JOIN s ON s.doc_id = n.doc_id GROUP BY n.doc_id, n_tokens
 """
 

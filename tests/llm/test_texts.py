@@ -126,35 +126,36 @@ def test_tool_calls(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def brute_scores(rows, alpha=lm.ALPHA):
+def brute_scores(rows, order, alpha=lm.ALPHA):
     texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
-    one, two = Counter(w for _, t in texts for w in t), Counter(p for _, t in texts for p in zip(t[:-1], t[1:], strict=True))
-    total, out = sum(one.values()), []
+    grams = lambda t: Counter(tuple(t[i : i + k]) for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    every, out = sum((grams(t) for _, t in texts), Counter()), []
+    total = sum(len(t) for _, t in texts)
     for i, t in texts:
-        own1, own2 = Counter(t), Counter(zip(t[:-1], t[1:], strict=True))
-        n, score, back = max(total - len(t), 1), 0.0, 0
-        for k, w in enumerate(t):
-            base = max(one[w] - own1[w], 0.5) / n
-            if k == 0:
-                score += math.log(base)
-            elif (c := two[t[k - 1], w] - own2[t[k - 1], w]) > 0:
-                score += math.log(c / (one[t[k - 1]] - own1[t[k - 1]]))
-            else:
-                score += math.log(alpha * base)
-                back += 1
+        own, score, back = grams(t), 0.0, 0
+        c = lambda g: every[g] - own[g]  # noqa: B023, E731
+        for k in range(len(t)):
+            h = tuple(t[max(0, k - order + 1) : k])
+            while h and not c((*h, t[k])):
+                h, back, score = h[1:], back + 1, score + math.log(alpha)
+            score += math.log(c((*h, t[k])) / c(h) if h else max(c((t[k],)), 0.5) / max(total - len(t), 1))
         out.append((str(i), len(t), back, round(score, 6)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("top", [0, 3, 1 << 20])
-def test_lm_scores(spark, docs, no_docs, top):
+@pytest.mark.parametrize(("order", "unit", "chars"), [(1, lm.UNIT, lm.BUCKET_CHARS), (2, 200, 200), (3, lm.UNIT, lm.BUCKET_CHARS), (3, 200, 40), (5, 3000, 2000)])
+def test_lm_scores(spark, docs, no_docs, monkeypatch, order, unit, chars):
+    """Of one unit and of many, of few buckets and of more than a unit has entries."""
+    monkeypatch.setattr(lm, "UNIT", unit)
+    monkeypatch.setattr(lm, "BUCKET_CHARS", chars)
     rnd = random.Random(2)
     more = [(50 + i, " ".join(rnd.choice(["a", "b", "C", "d" * 40, "é"]) for _ in range(rnd.randrange(700)))) for i in range(25)]
-    df = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string")).repartition(3)
-    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_backoff"], round(r["log_score"], 6)) for r in lm.score_documents(df.sort("doc_id", "text").coalesce(2), top_words=top).collect())
-    for a, b in zip(got, brute_scores([(r["doc_id"], r["text"]) for r in df.collect()]), strict=True):
+    df = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_backoff"], round(r["log_score"], 6)) for r in lm.score_documents(df, order=order).collect())
+    for a, b in zip(got, brute_scores([(r["doc_id"], r["text"]) for r in df.collect()], order), strict=True):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-5)
-    assert lm.score_documents(no_docs).count() == 0
+    if order == 3:
+        assert lm.score_documents(no_docs).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
