@@ -15,7 +15,9 @@ several times, each time in another order of bits. Pairs that differ in fewer bi
 for certain; the number of splits is such that of pairs at NEAR bits one in 500 is missed. A block is as wide as the
 logarithm of the number of fingerprints, so that unlike ones rarely meet. What meets is compared by Hamming distance,
 and what is within FAR bits by its shingles. A block that more than MEET fingerprints share is not joined with itself:
-each is compared with the first and the last one, and after that only with those that are not yet in its component.
+all texts of such blocks are compared by a second pigeonhole, which is exact. Of two texts that share 0.8, each has one
+of the other's rarest fifth of shingles; texts that meet there are compared with the most central one first, and after
+that only with those that are not yet in its component.
 
 Cases: a null text is empty; a text without words
 has fingerprint 0, which is linked like any other; a text of fewer words than a shingle has one shingle of them all;
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morpholake.llm.blocks import U64, Block, Words, checkpointed, id_and_text, lanes, mix, ragged, shingle_hashes, span_hashes, text_blocks, words
@@ -41,7 +43,7 @@ from morpholake.llm.graph import components, loose
 BUCKET = 32
 #: For near copies: words of 64 bits of a fingerprint; bits at which one pair in 500 is missed; bits beyond which texts are
 #: not looked at, of all and of the first word; fingerprints that share a block and are compared pair by pair, at most.
-LANES, NEAR, FAR, FAR_FIRST, MEET, MISSED = 4, 40, 72, 26, 64, 0.002
+LANES, NEAR, FAR, FAR_FIRST, MEET, MISSED = 4, 40, 60, 21, 16, 0.002
 SHINGLE, SHARE = 5, 0.8
 # Fixed values of the XXH64 hash.
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -198,7 +200,7 @@ def block_splits(count: int) -> tuple[int, int]:
 
 
 def _dealt(distinct: DataFrame, width: int, splits: int) -> DataFrame:
-    """(key, same, n, f0) for each block of each fingerprint."""
+    """(key, same, n, f0, dense) for each block of each fingerprint."""
     blocks, bits = 64 * LANES // width, 64 * LANES
     orders = [np.random.default_rng(k).permutation(bits)[: blocks * width] for k in range(splits)]
 
@@ -206,35 +208,33 @@ def _dealt(distinct: DataFrame, width: int, splits: int) -> DataFrame:
         for whole in batches:
             for i in range(0, len(whole), 1024):
                 batch = whole.slice(i, 1024)
-                prints = np.stack([batch.column(2 + lane).to_numpy() for lane in range(LANES)], axis=1)
-                set_ = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
+                prints = np.stack([batch.column(3 + lane).to_numpy() for lane in range(LANES)], axis=1)
+                bit = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
                 keys = []
                 for k, order in enumerate(orders):
-                    cut = set_[:, order].reshape(len(batch), blocks, width)
+                    cut = bit[:, order].reshape(len(batch), blocks, width)
                     code = np.packbits(np.pad(cut, ((0, 0), (0, 0), (0, 32 - width))), axis=2, bitorder="little").view("<u4")[:, :, 0].astype(np.int64)
                     keys.append(((k * blocks + np.arange(blocks)) << 32) | code)
-                row = np.repeat(np.arange(len(batch)), blocks * splits)
-                take = lambda c: pa.array(batch.column(c).to_numpy()[row])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys, axis=1).ravel()), take(0), take(1), take(2)], ["key", "same", "n", "f0"])
+                row = pa.array(np.repeat(np.arange(len(batch)), blocks * splits))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys, axis=1).ravel()), *(batch.column(c).take(row) for c in (0, 1, 3, 2))], ["key", "same", "n", "f0", "dense"])
 
-    return distinct.select("same", "n", *_LANES).mapInArrow(run, "key bigint, same bigint, n int, f0 bigint")
+    return distinct.select("same", "n", "dense", *_LANES).mapInArrow(run, "key bigint, same bigint, n int, f0 bigint, dense boolean")
 
 
 def _meetings(sorted_by_key: DataFrame, share: float) -> DataFrame:
-    """(a, b) of those that share a key and may be near copies by their first word of bits and their numbers of shingles; MEET rows of a key at most."""
+    """(a, b) of those that share a key and may be near copies by their first word of bits and their numbers of shingles; pairs of two dense ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 4  # key, same, n, f0
+        held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int64, bool)]
         for batch in batches:
-            key, same, n, first = (np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True))
-            # The last key may go on in the next batch; its pairs are made again there, of all its rows.
-            tail = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            held = [x[tail:] for x in (key, same, n, first)]
+            held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
+            key, same, n, first, dense = held
             step, found = 1, []
             at = np.flatnonzero(key[1:] == key[:-1])
             while len(at):
                 a, b = at, at + step
-                near = (np.bitwise_count((first[a] ^ first[b]).view(U64)) <= FAR_FIRST) & (np.minimum(n[a], n[b]) >= share * np.maximum(n[a], n[b]) - 1e-9) & (same[a] != same[b])
+                near = np.bitwise_count((first[a] ^ first[b]).view(U64)) <= FAR_FIRST
+                near &= (np.minimum(n[a], n[b]) >= share * np.maximum(n[a], n[b]) - 1e-9) & (same[a] != same[b]) & ~(dense[a] & dense[b])
                 found.append(np.sort(np.stack((same[a[near]], same[b[near]])), axis=0))
                 step += 1
                 at = at[at + step < len(key)]
@@ -242,34 +242,86 @@ def _meetings(sorted_by_key: DataFrame, share: float) -> DataFrame:
             pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            # The last key may go on in the next batch; its pairs are made again there, of all its rows.
+            held = [x[int(np.searchsorted(key, key[-1])) :] if len(key) else x for x in held]
 
     return sorted_by_key.mapInArrow(run, "a bigint, b bigint")
 
 
-def _alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, share: float, shingle: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose texts have enough shingles in common."""
+def _beside(pairs: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
+    """pairs (a, b) with other's columns for both, as name_a and name_b; other: one row for each same."""
+    for x in "ab":
+        pairs = pairs.join(other.select(loose(F.col("same")).alias(f"same_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in names]).hint("merge"), F.col(x) == F.col(f"same_{x}"))
+    return pairs
+
+
+def _sets(of: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(same, shingles) of those named in of (same), read from their texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 2 << 20):
             sets = shingle_sets(block, shingle)
             yield pa.RecordBatch.from_pydict({"same": pa.array([_same(s) for s in sets], pa.int64()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
-    def beside(df: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
-        for x in "ab":
-            df = df.join(other.select(F.col("same").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]).hint("merge"), x)
-        return df
-
-    bits = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in _LANES), F.lit(0))
-    close = checkpointed(beside(pairs, distinct, _LANES).where(bits <= FAR).select("a", "b"))
-    need = close.select(F.explode(F.array("a", "b")).alias("same")).distinct()
-    ids = distinct.join(need, "same", "left_semi").select(loose(F.col("node")).alias("id"), "same")
+    ids = distinct.join(of, "same", "left_semi").select(loose(F.col("node")).alias("id"))
     # A node's id may have other texts as well; only the one meant has this hash.
-    found = texts.join(ids.select("id"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(run, "same bigint, shingles array<bigint>")
-    sets = checkpointed(found.join(need, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")))
-    both = beside(close, sets, ["shingles"]).withColumn("n", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    found = texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(run, "same bigint, shingles array<bigint>")
+    return checkpointed(found.join(of, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) that have enough shingles in common."""
+    both = _beside(pairs, sets, ["shingles"]).withColumn("n", F.size(F.array_intersect("shingles_a", "shingles_b")))
     return checkpointed(both.where(F.col("n") >= F.lit(share) * (F.size("shingles_a") + F.size("shingles_b") - F.col("n")) - 1e-9).select("a", "b"))
 
 
+def _pairs(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def dense_links(sets: DataFrame, share: float) -> DataFrame:
+    """Links (a, b) that unite all of sets (same, shingles) that are near copies of each other, none other.
+
+    Shingles are ordered by the number of texts that have them. A near copy of a text with n shingles has one of the first
+    n - ceil(share * n) + 1 of them, and that text one of its first. Where texts meet at such a shingle, each is first
+    compared with the most central one it meets: that whose shingles most texts have; then with the most central one of
+    another component; then pairs of different components are compared.
+    """
+    each = sets.select("same", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).select(loose(F.col("shingle")).alias("of"), "often")
+    ranked = each.join(often.hint("merge"), F.col("shingle") == F.col("of")).groupBy("same", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ranked"), F.avg("often").alias("central"))
+    first = F.slice("ranked", 1, F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9).cast("int") + 1)
+    met = checkpointed(ranked.select("same", "n", "central", F.explode(F.filter(first, lambda x: x["often"] > 1)).alias("x")).select("same", "n", "central", "x.shingle"))
+    links, tried = None, None
+    for again in (False, True):
+        if again:
+            found = components(links).select(loose(F.col("node")).alias("linked"), "component")
+            placed = met.join(found.hint("merge"), F.col("same") == F.col("linked"), "left").withColumn("c", F.coalesce("component", "same"))
+        else:
+            placed = met.withColumn("c", F.col("same"))
+        top = placed.groupBy("shingle").agg(F.max(F.struct("central", "c", "same")).alias("top")).select(loose(F.col("shingle")).alias("at"), "top")
+        beside = placed.join(top.hint("merge"), F.col("shingle") == F.col("at")).where(F.col("c") != F.col("top.c"))
+        if again:  # the most central one of all others, for those of the top's own component
+            mixed = beside.groupBy("shingle").agg(F.max(F.struct("central", "c", "same")).alias("next")).select(loose(F.col("shingle")).alias("open"), "next")
+            other = placed.join(mixed.hint("merge"), F.col("shingle") == F.col("open")).where(F.col("c") != F.col("next.c")).select("same", F.col("next").alias("hub"))
+            beside = beside.select("same", F.col("top").alias("hub")).unionAll(other)
+        else:
+            beside = beside.select("same", F.col("top").alias("hub"))
+        hubs = beside.groupBy("same").agg(F.max("hub").alias("hub")).select(*_pairs("same", "hub.same")).distinct()
+        new = checkpointed(hubs if tried is None else hubs.join(tried, ["a", "b"], "left_anti"))
+        tried = new if tried is None else tried.unionAll(new)
+        close = _alike(new, sets, share)
+        links = close if links is None else links.unionAll(close)
+    found = components(links).select(loose(F.col("node")).alias("linked"), "component")
+    placed = met.join(found.hint("merge"), F.col("same") == F.col("linked"), "left").select("shingle", "same", "n", F.coalesce("component", "same").alias("c"))
+    mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select(loose(F.col("shingle")).alias("open"))
+    one = checkpointed(placed.join(mixed.hint("merge"), F.col("shingle") == F.col("open"), "left_semi"))
+    two = one.select(*[F.col(c).alias(f"{c}_") for c in one.columns])
+    like = F.least("n", "n_") >= F.lit(share) * F.greatest("n", "n_") - 1e-9
+    rest = one.join(two, (F.col("shingle") == F.col("shingle_")) & (F.col("same") < F.col("same_")) & (F.col("c") != F.col("c_")) & like).select(*_pairs("same", "same_")).distinct()
+    return links.unionAll(_alike(checkpointed(rest.join(tried, ["a", "b"], "left_anti")), sets, share))
+
+
 def near_copies(df: DataFrame, share: float = SHARE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tie, component, component_id) for each row, linked by share or more of distinct shingles in common. Ids are integers.
 
@@ -280,37 +332,30 @@ def near_copies(df: DataFrame, share: float = SHARE, shingle: int = SHINGLE, id_
     texts = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     prints = checkpointed(_described(texts, shingle))
     distinct = checkpointed(prints.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in ("n", *_LANES)]))
-    dealt = _dealt(distinct, *block_splits(distinct.count()))
-    hot = checkpointed(dealt.groupBy("key").count().where(F.col("count") > MEET).select(F.col("key").alias("hot")))
+    count = distinct.count()
+    width, splits = block_splits(count)
+    blocks = 64 * LANES // width * splits
+    spread = distinct.repartition(max(1, -(-count * blocks // 1_000_000)), "same")
+    plain = _dealt(spread.withColumn("dense", F.lit(False)), width, splits)
+    hot = checkpointed(plain.groupBy("key").count().where(F.col("count") > MEET).select(F.col("key").alias("hot")))
     many = hot.count()
-    small = F.broadcast(hot) if many <= 1 << 16 else hot
-    cold = dealt.join(small, F.col("key") == F.col("hot"), "left_anti") if many else dealt
-    pairs = _meetings(cold.repartition("key").sortWithinPartitions("key").select("key", "same", "n", "f0"), share)
-    if many:
-        met = checkpointed(dealt.join(small, F.col("key") == F.col("hot"), "left_semi"))
-        ends = met.groupBy("key").agg(F.min("same").alias("least"), F.max("same").alias("most"))
-        ends = ends.select(loose(F.col("key")).alias("at"), F.explode(F.array_distinct(F.array("least", "most"))).alias("end"))
-        # Two ends for each fingerprint, of all its blocks; what that leaves apart is compared below.
-        by_end = met.join(ends, F.col("key") == F.col("at")).groupBy("same").agg(F.min("end").alias("x"), F.max("end").alias("y"))
-        by_end = by_end.select("same", F.explode(F.array("x", "y")).alias("end")).select(F.least("same", "end").alias("a"), F.greatest("same", "end").alias("b")).where("a < b")
-        pairs = pairs.unionAll(by_end)
-    pairs = checkpointed(pairs.distinct())
-    links = _alike(pairs, distinct, texts, share, shingle)
-    found = components(links).select(loose(F.col("node")).alias("linked"), "component")
+    links = None
     if many:
-        known = met.join(found, F.col("same") == F.col("linked"), "left").select("key", "same", "n", "f0", F.coalesce("component", "same").alias("c"))
-        mixed = known.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select(loose(F.col("key")).alias("open"))
-        one = checkpointed(known.join(mixed, F.col("key") == F.col("open"), "left_semi"))
-        two = one.select(*[F.col(c).alias(f"{c}_") for c in one.columns])
-        near = (F.bit_count(F.col("f0").bitwiseXOR(F.col("f0_"))) <= FAR_FIRST) & (F.least("n", "n_") >= F.lit(share) * F.greatest("n", "n_") - 1e-9)
-        rest = one.join(two, (F.col("key") == F.col("key_")) & (F.col("same") < F.col("same_")) & (F.col("c") != F.col("c_")) & near).select(F.col("same").alias("a"), F.col("same_").alias("b")).distinct()
-        rest = checkpointed(rest.join(pairs, ["a", "b"], "left_anti"))
-        links = links.unionAll(_alike(rest, distinct, texts, share, shingle))
-        found = components(links).select(loose(F.col("node")).alias("linked"), "component")
-    known = distinct.join(found, F.col("same") == F.col("linked"), "left").select("same", "node", F.coalesce("component", "same").alias("component"))
-    smallest = known.groupBy("component").agg(F.min("node").alias("component_id")).withColumnRenamed("component", "c")
-    known = known.join(smallest, F.col("component") == F.col("c")).select(loose(F.col("same")).alias("of"), "component", "component_id")
-    out = prints.join(known, F.col("same") == F.col("of"), "left")
+        small = F.broadcast(hot) if many <= 1 << 16 else hot
+        dense = checkpointed(plain.join(small, F.col("key") == F.col("hot"), "left_semi").select("same").distinct())
+        links = dense_links(_sets(dense, distinct, texts, shingle), share)
+        marked = spread.join(dense.select(F.col("same").alias("d")).hint("merge"), F.col("same") == F.col("d"), "left").withColumn("dense", F.col("d").isNotNull())
+        plain = _dealt(marked, width, splits).join(small, F.col("key") == F.col("hot"), "left_anti")
+    pairs = checkpointed(_meetings(plain.repartition("key").sortWithinPartitions("key").select("key", "same", "n", "f0", "dense"), share).distinct())
+    bits = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in _LANES), F.lit(0))
+    close = checkpointed(_beside(pairs, distinct, _LANES).where(bits <= FAR).select("a", "b"))
+    need = close.select(F.explode(F.array("a", "b")).alias("same")).distinct()
+    cold = _alike(close, _sets(need, distinct, texts, shingle), share)
+    found = components(cold if links is None else links.unionAll(cold)).select(loose(F.col("node")).alias("linked"), "component")
+    known = distinct.join(found.hint("merge"), F.col("same") == F.col("linked"), "left").select("same", "node", F.coalesce("component", "same").alias("component"))
+    smallest = known.groupBy("component").agg(F.min("node").alias("component_id")).select(loose(F.col("component")).alias("c"), "component_id")
+    known = known.join(smallest.hint("merge"), F.col("component") == F.col("c")).select(loose(F.col("same")).alias("of"), "component", "component_id")
+    out = prints.join(known.hint("merge"), F.col("same") == F.col("of"), "left")
     has = F.col("doc_id").isNotNull()
     return out.select("doc_id", "tie", F.when(has, F.col("component")).alias("component"), F.when(has, F.col("component_id")).alias("component_id"))
 
@@ -319,7 +364,7 @@ def one_of_each(df: DataFrame, share: float = SHARE, shingle: int = SHINGLE, id_
     """df with one row of each group of near copies, that of the smallest id (then of the smallest hash of its text); rows without an id all stay."""
     own_id, own_tie = (next(n + "_" * k for k in range(2, 99) if n + "_" * k not in df.columns) for n in ("id", "tie"))
     rows = checkpointed(near_copies(df, share, shingle, id_col, text_col).where("doc_id is not null").groupBy("doc_id", "tie").agg(F.min("component").alias("component"), F.count("*").alias("rows")))
-    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("keep")).withColumnRenamed("component", "c")
+    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("keep")).select(loose(F.col("component")).alias("c"), "keep")
     judged = rows.join(chosen, F.col("component") == F.col("c")).select(F.col("doc_id").alias(own_id), F.col("tie").alias(own_tie), "rows", ((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("tie") != F.col("keep.tie"))).alias("goes"))
     judged = checkpointed(judged.where("goes or rows > 1"))
     mine = (F.col(id_col).cast("bigint") == F.col(own_id)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(own_tie))
