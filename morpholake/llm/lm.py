@@ -93,6 +93,8 @@ class Grams:
         key, row = self.key[order], self.of_row[order]
         new_key = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
         new_own = new_key | np.concatenate(([True], row[1:] != row[:-1])) if len(key) else new_key
+        if new_key.sum() != len(elsewhere):
+            raise RuntimeError("a unit's texts changed between two readings: documents must be read in an order that does not vary")
         each = lambda new: np.diff(np.append(np.flatnonzero(new), len(new)))
         out = np.empty(len(order), dtype=np.int64)
         here = np.repeat(each(new_key) + elsewhere, each(new_key)) - np.repeat(each(new_own), each(new_own))
@@ -194,8 +196,6 @@ def _met(units: DataFrame, answers: DataFrame, order: int, alpha: float) -> Data
         g = Grams(_block(r["offsets"], r["data"]), order)
         rows = sorted(found.select(["bucket", "others"]).to_pylist(), key=lambda x: x["bucket"])
         elsewhere = np.concatenate([*(_unpacked(x["others"]).astype(np.int64) for x in rows), np.zeros(0, dtype=np.int64)])
-        if len(elsewhere) != len(np.unique(g.key)):
-            raise RuntimeError("a unit's texts changed between two readings: documents must be read in an order that does not vary")
         steps, base, part = _scores(g, elsewhere, alpha)
         ids = pa.array(np.frombuffer(r["ids"], dtype="<i8"), mask=np.frombuffer(r["valid"], dtype=np.uint8) == 0)
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([ids, pa.array(g.length.astype(np.int64)), pa.array(steps), pa.array(base), pa.array(part)], [f.split()[0] for f in _SCORES.split(", ")])])
