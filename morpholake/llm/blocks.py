@@ -60,6 +60,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) ->
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
             yield Block(batch.column(0).slice(first, last - first), bytes(data[at[first] : at[last]]), at[first : last + 1] - at[first])
             first = last
+        pa.default_memory_pool().release_unused()
 
 
 class Words(NamedTuple):

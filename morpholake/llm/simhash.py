@@ -283,7 +283,8 @@ def dense_links(sets: DataFrame, share: float) -> DataFrame:
     """Links (a, b) that unite all of sets (same, shingles) that are near copies of each other, none other.
 
     Shingles are ordered by the number of texts that have them. A near copy of a text with n shingles has one of the first
-    n - ceil(share * n) + 1 of them, and that text one of its first. Where texts meet at such a shingle, each is first
+    n - ceil(share * n) + 1 of them, and that text one of its first; and from the first one they share on, both have as
+    many shingles left as the pair must have in common. Where texts meet at such a shingle, each is first
     compared with the most central one it meets: that whose shingles most texts have; then with the most central one of
     another component; then pairs of different components are compared.
     """
@@ -291,7 +292,8 @@ def dense_links(sets: DataFrame, share: float) -> DataFrame:
     often = each.groupBy("shingle").agg(F.count("*").alias("often")).select(loose(F.col("shingle")).alias("of"), "often")
     ranked = each.join(often.hint("merge"), F.col("shingle") == F.col("of")).groupBy("same", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ranked"), F.avg("often").alias("central"))
     first = F.slice("ranked", 1, F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9).cast("int") + 1)
-    met = checkpointed(ranked.select("same", "n", "central", F.explode(F.filter(first, lambda x: x["often"] > 1)).alias("x")).select("same", "n", "central", "x.shingle"))
+    placed = F.transform(first, lambda x, i: F.struct(x["often"].alias("often"), x["shingle"].alias("shingle"), (F.col("n") - i).alias("left")))
+    met = checkpointed(ranked.select("same", "n", "central", F.explode(F.filter(placed, lambda x: x["often"] > 1)).alias("x")).select("same", "n", "central", "x.left", "x.shingle"))
     links, tried = None, None
     for again in (False, True):
         if again:
@@ -313,11 +315,11 @@ def dense_links(sets: DataFrame, share: float) -> DataFrame:
         close = _alike(new, sets, share)
         links = close if links is None else links.unionAll(close)
     found = components(links).select(loose(F.col("node")).alias("linked"), "component")
-    placed = met.join(found.hint("merge"), F.col("same") == F.col("linked"), "left").select("shingle", "same", "n", F.coalesce("component", "same").alias("c"))
+    placed = met.join(found.hint("merge"), F.col("same") == F.col("linked"), "left").select("shingle", "same", "n", "left", F.coalesce("component", "same").alias("c"))
     mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select(loose(F.col("shingle")).alias("open"))
     one = checkpointed(placed.join(mixed.hint("merge"), F.col("shingle") == F.col("open"), "left_semi"))
     two = one.select(*[F.col(c).alias(f"{c}_") for c in one.columns])
-    like = F.least("n", "n_") >= F.lit(share) * F.greatest("n", "n_") - 1e-9
+    like = F.least("left", "left_") >= F.lit(share / (1 + share)) * (F.col("n") + F.col("n_")) - 1e-9
     rest = one.join(two, (F.col("shingle") == F.col("shingle_")) & (F.col("same") < F.col("same_")) & (F.col("c") != F.col("c_")) & like).select(*_pairs("same", "same_")).distinct()
     return links.unionAll(_alike(checkpointed(rest.join(tried, ["a", "b"], "left_anti")), sets, share))
 
