@@ -1,20 +1,24 @@
 """A counterfactually regularised toxicity classifier.
 
-Features are a text's words and word beginnings, and which of them it has more than once. A logistic model over the most telling ones is fitted on a
-bounded, documented sample of labelled rows. Each labelled text that names a group is also written with the other
-groups' names, and the squared change of the score's logit is penalised, so that naming a group does not by itself
-change the score. Scoring is one narrow pass over whole texts; only the words are looked at.
+Features are a text's words and word beginnings, and which of them it has more than once. A logistic model over the most
+telling ones is fitted on a bounded, documented sample of labelled rows. Labelled texts that name a group are also
+written with other groups' names of the same line, and the squared change of the score's logit is penalised, so that
+naming a group does not by itself change the score. So that there are such texts in any corpus, every second labelled
+text that names no group is fitted with a group's name added, and its change from the text without it is penalised too.
+Words that such a change touches always are features. Scoring is one narrow pass over whole texts; only the words are
+looked at.
 
 Cases: a null text is empty; an empty text gets the score of no features; a null label, or a label whose document is
-missing, is left out; a document labelled twice is toxic if one label says so; without both classes every score is the
-share of toxic labels (0 without labels); repeated rows get equal scores; a table without rows gives none; other columns
-are ignored.
+missing, is left out; a document labelled twice is toxic if one label says so; an id that several documents have is
+fitted with the shortest of its texts; without both classes every score is the share of toxic labels (0 without labels);
+repeated rows get equal scores; a table without rows gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from morpholake.llm.blocks import IS_MARK, U64, Block, id_and_text, lanes, mix, span_hashes, text_blocks, words
+from morpholake.llm.blocks import IS_MARK, U64, Block, checkpointed, id_and_text, lanes, mix, span_hashes, text_blocks, words
 
-#: Labelled rows that the model is fitted on, at most: those whose ids have the smallest hashes.
-FIT_ROWS = 4000
+#: Labelled rows that the model is fitted on, and bytes of their texts, at most: of those whose ids have the smallest
+#: hashes, the shortest texts.
+FIT_ROWS, FIT_BYTES = 4000, 32 << 20
 #: Numbers of features among which cross-validation chooses.
 SIZES = (100, 400, 1024)
 FOLDS, ROUNDS, RIDGE, LAMBDA = 3, 150, 1e-4, 1.0
@@ -33,7 +38,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 THRESHOLD = 0.7
 #: Logits between which cross-validation may place the threshold.
 CUTS = (-1.0, 3.0)
-#: Names of groups; within a line they are swapped for each other.
+#: Names of groups, by default; within a line they are swapped for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys", "transgender people", "nonbinary people"),
     ("woman", "man", "girl", "boy"),
@@ -45,8 +50,34 @@ IDENTITY = (
     ("disabled", "deaf", "blind", "autistic"),
     ("old", "young", "elderly"),
 )
-_LINE = {name: names for names in IDENTITY for name in names}
-_NAMED = re.compile(r"\b(?:" + "|".join(sorted(_LINE, key=len, reverse=True)) + r")\b", re.IGNORECASE)
+
+
+class Names:
+    """Lines of groups' names."""
+
+    def __init__(self, lines: Iterable[Iterable[str]] = IDENTITY):
+        self.line = {name.lower(): tuple(names) for names in map(tuple, lines) for name in names}
+        self.every = sorted(self.line)
+        self.pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(self.line, key=len, reverse=True))) + r")\b", re.IGNORECASE)
+
+    def swapped(self, text: str, turn: int) -> str:
+        """text with every group's name replaced by the one turn places further in its line."""
+
+        def other(m: re.Match) -> str:
+            names = self.line[m[0].lower()]
+            return names[([n.lower() for n in names].index(m[0].lower()) + turn) % len(names)]
+
+        return self.pattern.sub(other, text)
+
+    def versions(self, key: str, text: str) -> list[str]:
+        """The text to fit, and its other versions, if any: with names swapped, and without a name that was added."""
+        if self.pattern.search(text):
+            return [text, self.swapped(text, 1), self.swapped(text, 2)]
+        number = zlib.crc32(key.encode())
+        if number % 2:
+            return [text]
+        named = f"{text}\n{self.every[number // 2 % len(self.every)]}"
+        return [named, self.swapped(named, 1), self.swapped(named, 2), text]
 
 
 class Model(NamedTuple):
@@ -80,16 +111,6 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate((once, once[count > 1] | U64(1))))
 
 
-def swapped(text: str, turn: int) -> str:
-    """text with every group's name replaced by the one turn places further in its line."""
-
-    def other(m: re.Match) -> str:
-        names = _LINE[m[0].lower()]
-        return names[(names.index(m[0].lower()) + turn) % len(names)]
-
-    return _NAMED.sub(other, text)
-
-
 def _block(texts: list[str]) -> Block:
     data = [t.encode() for t in texts]
     return Block(None, b"".join(data), np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64))
@@ -153,16 +174,17 @@ def fit(found: list[np.ndarray], changed: list[tuple[int, np.ndarray]], toxic: n
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), -40.0 if share == 0 else 40.0)
     owner = np.array([i for i, _ in changed], dtype=np.int64)
     after = [f for _, f in changed]
+    touched = np.unique(np.concatenate([*(np.setxor1d(f, found[i]) for i, f in changed), np.zeros(0, dtype=found[0].dtype)]))
 
     def model(rows: np.ndarray, sizes: tuple[int, ...], test: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float, np.ndarray]]:
         best = _telling([found[i] for i in rows], toxic[rows], max(sizes))
-        every = np.sort(best)
+        every = np.union1d(best, touched)
         x, z = _lookup(every, [found[i] for i in rows]), _lookup(every, [found[i] for i in test])
         use = np.flatnonzero(np.isin(owner, rows))
         change = _lookup(every, [after[i] for i in use]) - _lookup(every, [found[i] for i in owner[use]])
         out = []
         for size in sizes:
-            own = np.isin(every, best[:size])
+            own = np.isin(every, best[:size]) | np.isin(every, touched)
             w, b = _descend(x[:, own], toxic[rows].astype(np.float32), change[:, own], weight)
             out.append((every[own], w, b, z[:, own] @ w + b))
         return out
@@ -183,39 +205,54 @@ def fit(found: list[np.ndarray], changed: list[tuple[int, np.ndarray]], toxic: n
     return Model(names, w.astype(np.float64), b - cut + float(np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, weight: float = LAMBDA) -> Model:
-    """Fits on at most rows labelled documents that are not held out. Their ids are broadcast (that bound), no text is shuffled, and their distinct features (not texts) come to the driver."""
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    rows: int = FIT_ROWS, size: int = FIT_BYTES, weight: float = LAMBDA, groups: Iterable[Iterable[str]] = IDENTITY,
+) -> Model:
+    """Fits on at most rows labelled documents that are not held out, of size bytes together at most.
+
+    Their ids are broadcast (that bound), their texts are written once, and their distinct features come to the driver.
+    """
+    names = Names(groups)
     wanted = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     wanted = wanted.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     few = docs.sparkSession.createDataFrame(wanted.toArrow()) if not wanted.isEmpty() else wanted
-    kept = id_and_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic")
+    met = id_and_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.octet_length("text").alias("size"), "text")).alias("least"))
+    sample = checkpointed(met.select("doc_id", F.col("least.text").alias("text"), "toxic", F.col("least.size").alias("size")))
+    order = sample.select("doc_id", "size").orderBy("size", F.xxhash64("doc_id")).toArrow()
+    fits = int((np.cumsum(order["size"].to_numpy()) <= size).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 64):
                 part = batch.slice(i, 64)
-                texts = part.column(1).to_pylist()
-                turned = [(r, turn) for r, t in enumerate(texts) if _NAMED.search(t) for turn in (1, 2)]
-                h, row = features(_block([*texts, *(swapped(texts[r], turn) for r, turn in turned)]))
+                keys = part.column(0).cast(pa.string())
+                made = [names.versions(key, text) for key, text in zip(keys.to_pylist(), part.column(1).to_pylist(), strict=True)]
+                owner = [r for r, m in enumerate(made) for _ in m]
+                h, row = features(_block([text for m in made for text in m]))
                 cut = np.argsort(row, kind="stable")
-                each = np.split(h[cut], np.searchsorted(row[cut], np.arange(1, len(texts) + len(turned))))
-                owner = [*range(len(texts)), *(r for r, _ in turned)]
+                each = np.split(h[cut], np.searchsorted(row[cut], np.arange(1, len(owner))))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0).cast(pa.string()).take(pa.array(owner)),
+                    "doc_id": keys.take(pa.array(owner)),
                     "toxic": part.column(2).take(pa.array(owner)),
-                    "turn": pa.array([0] * len(texts) + [t for _, t in turned], pa.int32()),
+                    "turn": pa.array([k for m in made for k in range(len(m))], pa.int32()),
                     "found": pa.array([distinct(x).view(np.int64) for x in each], pa.list_(pa.int64())),
                 })
 
-    got = kept.mapInArrow(run, "doc_id string, toxic int, turn int, found array<bigint>").orderBy("doc_id", "turn").toArrow()
+    chosen = sample
+    if fits < len(order):
+        fit_ids = docs.sparkSession.createDataFrame(order.select(["doc_id"]).slice(0, fits), sample.select("doc_id").schema)
+        chosen = sample.join(F.broadcast(fit_ids), "doc_id")
+    chosen = chosen.select("doc_id", "text", "toxic")
+    got = chosen.mapInArrow(run, "doc_id string, toxic int, turn int, found array<bigint>").toArrow().sort_by([("doc_id", "ascending"), ("turn", "ascending")])
     turns, toxic = got["turn"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
     ids = got["doc_id"].to_pylist()
-    names, found = _shared([chunk[i].values.to_numpy().view(U64) for chunk in got["found"].chunks for i in range(len(chunk))], turns == 0)
+    known, found = _shared([chunk[i].values.to_numpy().view(U64) for chunk in got["found"].chunks for i in range(len(chunk))], turns == 0)
     del got
     own = np.flatnonzero(turns == 0)
     number = {ids[i]: n for n, i in enumerate(own)}
     model = fit([found[i] for i in own], [(number[ids[i]], found[i]) for i in np.flatnonzero(turns)], toxic[own], weight=weight)
-    return model._replace(features=names[model.features])
+    return model._replace(features=known[model.features])
 
 
 def _shared(found: list[np.ndarray], counted: np.ndarray, least: int = 4) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -100,6 +100,39 @@ def test_toxicity_holds_out_and_learns(spark, docs, no_docs):
         assert {r["score"] < 0.01 for r in toxicity.score(df, toxicity.train(df, few)).collect()} == {True}
 
 
+def shifts(model, texts):
+    """Mean change of the logit when a group's name in a text is swapped, over all names of all lines."""
+    names = toxicity.Names()
+    one = [f"{t} {n}" for t in texts for n in names.every]
+    logit = lambda x: (lambda s: np.log(s / (1 - s)))(toxicity.block_scores(toxicity._block(x), model))
+    return float(np.mean(np.abs(logit(one) - logit([names.swapped(t, 1) for t in one]))))
+
+
+def test_penalty_acts_on_documents(spark):
+    """The driver's documents name no group; fitted with names added, the penalty changes the model and swaps change scores less."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model, plain = toxicity.train(docs, labels), toxicity.train(docs, labels, weight=0.0)
+    names = {int(toxicity.features(toxicity._block([n]))[0][0]) for n in ("muslim", "women", "refugees", "young")}
+    assert names & set(model.features.tolist()) and shifts(plain, ["the", "idiot"]) > 0
+    assert shifts(model, ["the", "idiot"]) < 0.5 * shifts(plain, ["the", "idiot"])
+    out = {r["doc_id"]: r["predicted"] for r in QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.01").collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
+    hits = sum(out[i] for i, y in truth.items() if y)
+    assert hits >= 0.75 * sum(truth.values()) and hits >= 0.9 * sum(out[i] for i in truth)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Repeated ids are fitted once, with the shortest text; very long texts beyond the bytes are left out of the fit, not of the scores."""
+    rows = [(i, ("idiot scum " if i % 4 == 0 else "good day ") + f"w{i % 7}") for i in range(400)]
+    more = [(i, t + " and more") for i, t in rows[:40]] + [(4, "idiot " * 100_000)] * 3 + [(1000, "good " * 500_000)]
+    df = spark.createDataFrame([*rows, *more], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(1000, 1)], "doc_id long, toxic int")
+    model, same = toxicity.train(df, labels, size=1 << 20), toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert (model.features == same.features).all() and np.allclose(model.weights, same.weights)
+    assert toxicity.score(df, model).count() == len(rows) + len(more)
+    assert len(toxicity.train(df, labels, rows=5, size=0).features) == 0
+
+
 SCHEMAS = {"f": {"a": ("integer", True), "b": ("string", False), "c": ("array", False), "d": ("number", False), "e": ("boolean", False), "o": ("object", False)}}
 
 
