@@ -3,7 +3,9 @@
 Vectors are compared only within a label (and a length). Copies count once. A label's distinct vectors are dealt to
 shards of bounded size; every shard builds a graph over its own and is queried with all of the label. A query's beam is
 widened until its worst entry lies below the threshold, and the first beam's width until an audit against brute force
-on a sample of the shard's queries reaches TARGET. What a beam finds is verified by the cosine in double precision.
+reaches TARGET. The audit's queries are vectors of the shard with the smallest hashes of their ids, as many as it takes
+to have AUDIT links to others (AUDIT_ROWS at most); the shard's links found and there are returned as the recall. What a
+beam finds is verified by the cosine in double precision.
 
 Links are counted, not listed: of a group of near copies a shard hands on a count for each query and the edges of a
 spanning forest, whose components are then united over all shards.
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morpholake.llm.blocks import checkpointed
+from morpholake.llm.blocks import U64, checkpointed, mix
 from morpholake.llm.graph import components, loose
 
-DEGREE, BUILD_WIDTH, FIRST_WIDTH, AUDIT, TARGET = 16, 64, 32, 64, 0.995
+DEGREE, BUILD_WIDTH, FIRST_WIDTH, AUDIT, AUDIT_ROWS, TARGET = 16, 64, 32, 256, 1024, 0.995
 SHARD_ROWS, QUERY_ROWS, STEP = 16384, 256, 4
 
 
@@ -183,7 +185,8 @@ class Shard:
         self.graph = Graph((vectors / self.norm[:, None]).astype(np.float32))
         self.root = np.arange(len(ids))
         self.own = {int(x): i for i, x in enumerate(ids)}
-        self.width = 0
+        self.width, self.found, self.true = FIRST_WIDTH, 0, 0
+        self._audit()
 
     def _found(self, v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         norm = np.sqrt((v * v).sum(axis=1))
@@ -191,19 +194,27 @@ class Shard:
         sure = np.einsum("ij,ij->i", v[row], self.vectors[point]) / (norm[row] * self.norm[point]) >= self.least
         return row[sure], point[sure]
 
-    def _audit(self, v: np.ndarray) -> None:
-        """Sets the first beam's width: doubled until what is found reaches TARGET of what brute force finds."""
-        self.width = FIRST_WIDTH
-        sample = v[:AUDIT]
-        norm = np.sqrt((sample * sample).sum(axis=1))
-        true = int(((sample @ self.vectors.T) / (norm[:, None] * self.norm) >= self.least).sum())
-        while self.width < len(self.ids) and len(self._found(sample, self.width)[0]) < TARGET * true:
+    def _audit(self) -> None:
+        """Sets the first beam's width: doubled until what is found of the sample's links to others reaches TARGET of what brute force finds."""
+        order = np.argsort(mix(self.ids.astype(U64)), kind="stable")[:AUDIT_ROWS]
+        links, rows = [], 0
+        while rows < len(order) and sum(len(x) for x in links) < AUDIT:
+            part = order[rows : rows + 64]
+            near = (self.vectors[part] @ self.vectors.T) / (self.norm[part, None] * self.norm) >= self.least
+            near[np.arange(len(part)), part] = False
+            links.append(np.flatnonzero(near) + rows * len(self.ids))
+            rows += len(part)
+        true, sample = np.concatenate([*links, np.zeros(0, dtype=np.int64)]), order[:rows]
+        self.true = len(true)
+        while True:
+            row, point = self._found(self.vectors[sample], self.width)
+            self.found = int(np.isin(true, row * len(self.ids) + point).sum())
+            if self.found >= TARGET * self.true or self.width >= len(self.ids):
+                break
             self.width *= 2
 
     def query(self, ids: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
         """For each query: id, number of links into this shard, and links that unite what was not united yet."""
-        if not self.width:
-            self._audit(v)
         row, point = self._found(v, self.width)
         order = np.argsort(row, kind="stable")
         row, point = row[order], point[order]
@@ -222,16 +233,23 @@ class Shard:
             yield q, int(self.copies[hit].sum()), self.ids[hit[first[roots != mine]]].tolist()
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)], ["node", "other", "n", "true"])
+
+
 def near_duplicates(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row; ids are integers, labels any type that can be grouped by."""
+    """(vec_id, n_links, component_id, kept, recall) for each row; ids are integers, labels any type that can be grouped by.
+
+    recall: the share of true links that the audits of all shards found, the same for every row; null without any.
+    """
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = checkpointed(rows.withColumn("fit", F.coalesce(fit & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))))
     distinct = rows.where("fit").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     distinct = checkpointed(distinct.withColumn("dim", F.size("v")))
-    # Labels of more than a shard's rows: fewer than rows / shard_rows, so their list is bounded by that.
-    large = distinct.groupBy("label", "dim").count().where(F.col("count") > shard_rows).select(F.col("label").alias("l"), F.col("dim").alias("d"), F.ceil(F.col("count") / shard_rows).cast("int").alias("shards"))
-    dealt = distinct.join(F.broadcast(large), F.col("label").eqNullSafe(F.col("l")) & (F.col("dim") == F.col("d")), "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    large = checkpointed( distinct.groupBy("label", "dim").count().where(F.col("count") > shard_rows).select(F.col("label").alias("l"), F.col("dim").alias("d"), F.ceil(F.col("count") / shard_rows).cast("int").alias("shards")))
+    few = F.broadcast(large) if large.count() <= 1 << 16 else large
+    dealt = distinct.join(few, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")), "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     built = dealt.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("asks", F.lit(False))
     asking = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("asks", F.lit(True))
     names = ["label", "dim", "shard", "asks", "node", "copies", "v"]
@@ -256,19 +274,22 @@ def near_duplicates(df: DataFrame, least: float = 0.93, id_col: str = "vec_id",
                 if shard is None:
                     shard = Shard(*(np.concatenate([p[k] for p in parts]) for k in range(3)), least)
                     parts = []
+                    yield _rows([(None, None, shard.found, shard.true)])
                 for i in range(0, len(part), QUERY_ROWS):
-                    out: list[tuple[int, int | None, int]] = []
+                    out: list[tuple] = []
                     for q, n, links in shard.query(ids[i : i + QUERY_ROWS], vectors[i : i + QUERY_ROWS]):
-                        out.append((q, None, n))
-                        out += [(q, x, 0) for x in links]
+                        out.append((q, None, n, None))
+                        out += [(q, x, 0, None) for x in links]
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)], ["node", "other", "n"])
+                        yield _rows(out)
 
-    found = checkpointed(dealt_out.mapInArrow(run, "node bigint, other bigint, n bigint"))
+    found = checkpointed(dealt_out.mapInArrow(run, "node bigint, other bigint, n bigint, true bigint"))
+    audit = found.where("true is not null").agg(F.sum("n"), F.sum("true")).first()
+    recall = F.lit(audit[0] / audit[1] if audit[1] else None).cast("double")
     united = components(found.where("other is not null"), "node", "other").withColumnRenamed("node", "u")
-    linked = found.groupBy("node").agg(F.sum("n").alias("n")).select(F.col("node").alias("w"), "n")
+    linked = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("n")).select(F.col("node").alias("w"), "n")
     known = distinct.join(linked, F.col("node") == F.col("w"), "left").join(united, F.col("node") == F.col("u"), "left")
     known = known.select(F.col("label").alias("l"), F.col("v").alias("x"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("c"))
     out = rows.join(known, F.col("fit") & F.col("label").eqNullSafe(F.col("l")) & (F.col("v") == F.col("x")), "left")
     component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), recall.alias("recall"))

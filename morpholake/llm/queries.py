@@ -30,7 +30,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 #: All pairs of a label by brute force; the graphs must find the same.

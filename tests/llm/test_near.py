@@ -104,6 +104,24 @@ def test_sketches(docs, no_docs, block):
     assert sketch.resemblance(sketch.merge(x, y), whole) > 0.98
 
 
+def test_parts_in_order(spark, monkeypatch, tmp_path):
+    """Many parts, within quantiles too: the rows of all parts are the table in order, each followed by the next part's first."""
+    monkeypatch.setattr(sketch, "CUTS", 8)
+    rng = np.random.default_rng(7)
+    ids = sorted({*map(int, rng.integers(-50, 5000, 900)), 10**12, -(10**15), *range(40)})
+    df = spark.createDataFrame([(i, f"text {i}") for i in rng.permutation(ids).tolist()], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    got = sketch.in_order(spark.read.parquet(str(tmp_path / "in")), part_bytes=200).collect()
+    assert len({r["part"] for r in got}) > 16
+    own = sorted((r["part"], r["doc_id"]) for r in got if not r["guest"])
+    assert [i for _, i in own] == ids
+    first = {}
+    for p, i in own:
+        first.setdefault(p, i)
+    order = sorted(first)
+    assert {r["part"]: r["doc_id"] for r in got if r["guest"]} == {p: first[q] for p, q in zip(order, order[1:] + order[:1], strict=True)}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(6, 16))
@@ -117,8 +135,9 @@ def test_vectors(spark):
     root = united(410, pairs)
     links = np.bincount([x for p in pairs for x in p], minlength=410)
     for shard_rows in (hnsw.SHARD_ROWS, 60):
-        got = [tuple(r) for r in hnsw.near_duplicates(df, shard_rows=shard_rows).collect()]
-        assert len(got) == len(rows)
+        every = hnsw.near_duplicates(df, shard_rows=shard_rows).collect()
+        got = [tuple(r)[:4] for r in every]
+        assert len(got) == len(rows) and {r["recall"] for r in every} <= {every[0]["recall"]} and every[0]["recall"] >= hnsw.TARGET
         for i, n, c, kept in got:
             if i == 407:
                 assert (n, c, kept) == (1, 407, True)
@@ -127,6 +146,19 @@ def test_vectors(spark):
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_audit_widens_the_beam(monkeypatch):
+    """A sample spread over the shard, without matches of a vector with itself, whose first rows have no links."""
+    rng = np.random.default_rng(6)
+    alone, dense = rng.normal(size=(200, 32)), rng.normal(size=(1, 32)) + 0.25 * rng.normal(size=(1500, 32))
+    v = np.concatenate((alone, dense))
+    monkeypatch.setattr(hnsw, "FIRST_WIDTH", 1)
+    shard = hnsw.Shard(np.arange(len(v)), np.ones(len(v), dtype=np.int64), v, 0.93)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.93).sum() - len(v)
+    found = sum(n for _, n, _ in shard.query(np.arange(len(v)), v))
+    assert shard.true >= hnsw.AUDIT and shard.found >= hnsw.TARGET * shard.true and 0.99 * true <= found <= true
+
+
 def test_graph_recall():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 24)) + 3 * rng.normal(size=(20, 24))[rng.integers(0, 20, 3000)]
