@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from morpholake.llm.blocks import Block, id_and_text, shingle_hashes, span_hashes, text_blocks, words
 
 K, SHINGLE = 256, 5
+#: Bytes of input for each part of a table that is put in order, and quantiles of ids, at most.
+PART_BYTES, CUTS = 4 << 20, 4096
 
 
 def sketches(block: Block, k: int = K, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -86,17 +88,25 @@ def fingerprint_texts(df: DataFrame, k: int = K, shingle: int = SHINGLE, id_col:
     return texts.mapInArrow(run, f"doc_id {kind}, fingerprint string, n_shingles double")
 
 
-def in_order(df: DataFrame) -> DataFrame:
+def in_order(df: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, text, part, guest): rows of a part lie together and ascend by doc_id; a guest, at the end of each part, repeats the first row of the next part (of the first part after the last).
 
-    Parts are ranges of ids between quantiles, many more than tasks, so a hot source or a gap in the ids does not matter.
-    What reaches the driver is bounded: at most 4096 quantiles and part numbers. Rows without an id come first.
+    Parts are ranges of ids, as many as there are part_bytes of input, so that a task's part does not grow with the
+    input: ranges between quantiles (CUTS at most), each cut into ranges of equal width where there are more parts. What
+    reaches the driver is the quantiles and a row for each part. Rows without an id come first.
     """
-    parts = min(4096, max(16, 4 * df.rdd.getNumPartitions()))
-    cuts = df.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(16, size // part_bytes if size < 1 << 60 else 4 * df.rdd.getNumPartitions())  # an input of unknown size has the largest number there
+    ranges, within = min(parts, CUTS), -(-parts // CUTS)
+    cuts = df.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges), F.min("doc_id"), F.max("doc_id")).first()
+    cuts, low, high = sorted(set(cuts[0] or [])), cuts[1], cuts[2]
     bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
     part = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+    if within > 1 and cuts:
+        ends = F.array(*[F.lit(c) for c in [low - 1, *cuts, high]]).cast("array<bigint>")
+        begin, end = F.element_at(ends, part + 1), F.element_at(ends, part + 2)
+        step = F.floor((F.col("doc_id") - begin - 1).cast("double") * within / F.greatest(end - begin, F.lit(1))).cast("int")
+        part = part * within + F.coalesce(F.greatest(F.least(step, F.lit(within - 1)), F.lit(0)), F.lit(0))
     rows = df.withColumn("part", part).withColumn("tie", F.xxhash64("text"))
     heads = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id"), F.col("tie"))).alias("head"))
     found = sorted((r["part"], r["head"]["doc_id"], r["head"]["tie"]) for r in heads.collect()) if cuts else [(r["part"], r["head"]["doc_id"], r["head"]["tie"]) for r in heads.collect()]
@@ -107,7 +117,7 @@ def in_order(df: DataFrame) -> DataFrame:
     guests = rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["host"])
     guests = guests.select("doc_id", "text", F.col("host").alias("part"), "tie", F.lit(True).alias("guest"))
     every = rows.select("doc_id", "text", "part", "tie", F.lit(False).alias("guest")).unionAll(guests)
-    return every.repartition(max(1, len(found) // 4), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text", "part", "guest")
+    return every.repartition(max(1, len(found) // 2), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text", "part", "guest")
 
 
 def edit_likeness(df: DataFrame, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
