@@ -6,7 +6,8 @@ first byte; "majority" to the section that holds most of its bytes, on ties the
 
 Sections are the document's lines unless a column of (start, end) character spans is named; a line feed belongs to the
 line that it ends. Tokens of no section count to section -1. Cases: a null text is empty; an empty text has one empty
-line, with no tokens; null sections are no sections; sections must be sorted and must not overlap (an error otherwise);
+line, with no tokens; null sections are no sections; a null section, or one with a null bound, is an empty one where the section before it
+ends; sections must be sorted and must not overlap (an error otherwise);
 repeated rows give repeated results; a table without rows gives none; other columns are ignored.
 """
 
@@ -47,7 +48,14 @@ def _given(block: Block, sections: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     raw = np.frombuffer(block.data, dtype=np.uint8)
     chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
     first = np.searchsorted(chars, block.offsets)
-    rows = [[(s["start"], s["end"]) for s in x or []] for x in sections.to_pylist()]
+    rows = []
+    for x in sections.to_pylist():
+        spans, end = [], 0
+        for s in x or []:
+            whole = s is not None and s["start"] is not None and s["end"] is not None
+            start, end = (s["start"], s["end"]) if whole else (end, end)
+            spans.append((start, end))
+        rows.append(spans)
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     spans = np.array([s for x in rows for s in x], dtype=np.int64).reshape(-1, 2)
     limit = np.diff(first)[owner]

@@ -92,6 +92,15 @@ def test_attribution(docs, no_docs, library, rule, spark):
         assert [got[i, k] for k in range(len(spans))] == counts and got.get((i, -1), 0) == outside
 
 
+def test_null_sections(spark):
+    """A null section, or one with a null bound, keeps its number and holds nothing."""
+    kind = "doc_id long, text string, s array<struct<start:long,end:long>>"
+    given = spark.createDataFrame([(1, "one two three", [None, (0, 4), (None, 9), (4, None), (4, 13)]), (None, None, [None, (0, 5)])], kind)
+    got = {(r["doc_id"], r["section"]): (r["start_char"], r["end_char"], r["n_tokens"]) for r in attribution.attribute_tokens(given, RANKS, P.PATTERN, sections_col="s").collect()}
+    assert [got[1, k][:2] for k in range(5)] == [(0, 0), (0, 4), (4, 4), (4, 4), (4, 13)]
+    assert got[1, 0][2] == got[1, 2][2] == got[1, 3][2] == 0 < got[1, 1][2] and (got[None, 0], got[None, 1]) == ((0, 0, 0), (0, 0, 0))
+
+
 def check_pieces(rows, tokens, window):
     seen, at = {}, {}
     for r in rows:
