@@ -231,12 +231,15 @@ def train(
                 owner = [r for r, m in enumerate(made) for _ in m]
                 h, row = features(_block([text for m in made for text in m]))
                 cut = np.argsort(row, kind="stable")
-                each = np.split(h[cut], np.searchsorted(row[cut], np.arange(1, len(owner))))
+                each = [distinct(x) for x in np.split(h[cut], np.searchsorted(row[cut], np.arange(1, len(owner))))]
+                turn = [k for m in made for k in range(len(m))]
+                # Of other versions only what differs from the first is sent.
+                sent = [np.setxor1d(x, each[n - k]) if k else x for n, (x, k) in enumerate(zip(each, turn, strict=True))]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": keys.take(pa.array(owner)),
                     "toxic": part.column(2).take(pa.array(owner)),
-                    "turn": pa.array([k for m in made for k in range(len(m))], pa.int32()),
-                    "found": pa.array([distinct(x).view(np.int64) for x in each], pa.list_(pa.int64())),
+                    "turn": pa.array(turn, pa.int32()),
+                    "found": pa.array([x.view(np.int64) for x in sent], pa.list_(pa.int64())),
                 })
 
     chosen = sample
@@ -251,7 +254,8 @@ def train(
     del got
     own = np.flatnonzero(turns == 0)
     number = {ids[i]: n for n, i in enumerate(own)}
-    model = fit([found[i] for i in own], [(number[ids[i]], found[i]) for i in np.flatnonzero(turns)], toxic[own], weight=weight)
+    changed = [(n, np.setxor1d(found[own[n]], found[i])) for i in np.flatnonzero(turns) for n in (number[ids[i]],)]
+    model = fit([found[i] for i in own], changed, toxic[own], weight=weight)
     return model._replace(features=known[model.features])
 
 
