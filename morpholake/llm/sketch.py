@@ -23,7 +23,7 @@ from morpholake.llm.blocks import Block, id_and_text, shingle_hashes, span_hashe
 
 K, SHINGLE = 256, 5
 #: Bytes of input for each part of a table that is put in order, and quantiles of ids, at most.
-PART_BYTES, CUTS = 4 << 20, 4096
+PART_BYTES, CUTS = 1 << 20, 4096
 
 
 def sketches(block: Block, k: int = K, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -117,7 +117,7 @@ def in_order(df: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     guests = rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["host"])
     guests = guests.select("doc_id", "text", F.col("host").alias("part"), "tie", F.lit(True).alias("guest"))
     every = rows.select("doc_id", "text", "part", "tie", F.lit(False).alias("guest")).unionAll(guests)
-    return every.repartition(max(1, len(found) // 2), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text", "part", "guest")
+    return every.repartition(max(1, len(found) // 8), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text", "part", "guest")
 
 
 def edit_likeness(df: DataFrame, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
