@@ -6,6 +6,7 @@ reads (a single text is one row and is held whole).
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+_C = ctypes.CDLL(None)
 #: Bytes of text handled at once.
 BLOCK_BYTES = 4 << 20
 #: Words up to this many bytes are hashed from three 8-byte lanes; longer ones go through xxhash.
@@ -50,6 +52,13 @@ def flat(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(data or b""), at
 
 
+def given_back() -> None:
+    """Returns freed memory to the system: a worker that has done with a large batch is kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of about limit bytes (a longer text makes a block of its own) from batches of (doc_id, text)."""
     for batch in batches:
@@ -60,7 +69,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) ->
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
             yield Block(batch.column(0).slice(first, last - first), bytes(data[at[first] : at[last]]), at[first : last + 1] - at[first])
             first = last
-        pa.default_memory_pool().release_unused()
+        given_back()
 
 
 class Words(NamedTuple):

@@ -31,7 +31,7 @@ from morpholake.llm.blocks import IS_SPACE, LANE_BYTES, Block, id_and_text, lane
 
 CHUNK_BYTES, OVERLAP_BYTES = 1 << 15, 1 << 10
 #: Bytes of text encoded at once: more texts share more pieces, and take about 25 times as much memory.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
 _WIDE_LEADS = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
 

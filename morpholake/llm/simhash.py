@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from morpholake.llm.blocks import U64, Block, Words, checkpointed, id_and_text, lanes, mix, ragged, shingle_hashes, span_hashes, text_blocks, words
+from morpholake.llm.blocks import U64, Block, Words, checkpointed, given_back, id_and_text, lanes, mix, ragged, shingle_hashes, span_hashes, text_blocks, words
 from morpholake.llm.graph import components, loose
 
 #: Fingerprints that share a pair of blocks and are compared pair by pair, at most.
@@ -217,6 +217,7 @@ def _dealt(distinct: DataFrame, width: int, splits: int) -> DataFrame:
                     keys.append(((k * blocks + np.arange(blocks)) << 32) | code)
                 row = pa.array(np.repeat(np.arange(len(batch)), blocks * splits))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys, axis=1).ravel()), *(batch.column(c).take(row) for c in (0, 1, 3, 2))], ["key", "same", "n", "f0", "dense"])
+            given_back()
 
     return distinct.select("same", "n", "dense", *_LANES).mapInArrow(run, "key bigint, same bigint, n int, f0 bigint, dense boolean")
 
