@@ -7,10 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_NORM = 0.1
+#: Rows of a block of the nearest-neighbour join, about.
+BLOCK_ROWS = 4096
 PERCENTILES = (1, 2, 5, 10, 20)
 
 
@@ -49,23 +52,45 @@ def cosine_distance(a: str, b: str) -> Column:
     return 1 - F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_distance(queries: DataFrame, refs: DataFrame, on: Sequence[str] = ("cohort",), exclude_self: bool = False, buckets: int | None = None) -> DataFrame:
+def nearest_distance(queries: DataFrame, refs: DataFrame, on: Sequence[str] = ("cohort",), exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, dist): each query's cosine distance to its nearest ref of the same on-columns; queries without refs are left out.
 
-    The refs of a key are dealt to buckets, and each query meets every bucket: a cohort of many refs is spread over as
-    many tasks, and the partial minima are combined. Queries and refs need id and embedding (without zero rows).
+    Queries and refs of a key are dealt to blocks of about block_rows; every block of queries meets every block of refs
+    as one matrix product, and the blocks' minima are combined. So a key of any size is spread over tasks of bounded
+    size, and a pair is a number, not a row. Distances have twelve decimals: those of equal pairs are equal, whatever
+    the order of the sums. Queries and refs need id and embedding (without zero rows).
     """
-    buckets = buckets or max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    q = _unit(queries).select("id", *on, F.col("unit").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    r = _unit(refs).select(F.col("id").alias("ref"), *on, F.col("unit").alias("r"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
-    met = q.join(r, [*on, "bucket"])
-    met = met.where("id <> ref") if exclude_self else met
-    return met.groupBy("id").agg(F.min(cosine_distance("q", "r")).alias("dist"))
+    kind = queries.schema["id"].dataType.simpleString()
+    blocks = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(name))
+    every = blocks(queries, "q_blocks").join(blocks(refs, "r_blocks"), list(on))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = _unit(queries).join(every, list(on)).select(*on, "id", "unit", own("q_blocks").alias("q_block"), "r_blocks").select(*on, "id", "unit", "q_block", each("r_blocks").alias("r_block"))
+    r = _unit(refs).join(every, list(on)).select(*on, "id", "unit", own("r_blocks").alias("r_block"), "q_blocks").select(*on, "id", "unit", "r_block", each("q_blocks").alias("q_block"))
+
+    keys = [*on, "q_block", "r_block"]
+    r = r.select(*[F.col(c).alias(f"ref_{c}") for c in (*keys, "id", "unit")])  # names and attributes of its own, whatever the two have in common
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"id": left["id"].slice(0, 0), "dist": pa.array([], pa.float64())})
+        matrix = lambda t: t.combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        ids, x, y, best = left["id"], matrix(left["unit"]), matrix(right["ref_unit"]), np.full(len(left), np.inf)
+        for i in range(0, len(x), 1024):
+            d = np.round(1 - x[i : i + 1024] @ y.T, 12)
+            if exclude_self:
+                d[ids.to_numpy()[i : i + 1024, None] == right["ref_id"].to_numpy()[None, :]] = np.inf
+            best[i : i + 1024] = d.min(axis=1)
+        some = pa.array(np.isfinite(best))
+        return pa.table({"id": ids.filter(some), "dist": pa.array(best).filter(some)})
+
+    return q.groupBy(*keys).cogroup(r.groupBy(*[f"ref_{k}" for k in keys])).applyInArrow(nearest, f"id {kind}, dist double").groupBy("id").agg(F.min("dist").alias("dist"))
 
 
 def flagging(synthetic: DataFrame, heldout: DataFrame, percentiles: Sequence[int] = PERCENTILES) -> DataFrame:
     """Counts of nearest distances strictly below percentiles of the held-out ones (linear interpolation)."""
     percentiles = sorted({int(p) for p in percentiles})
+    heldout = heldout.persist()  # an id and a number for each row, read twice
     cut = heldout.agg(F.percentile("dist", F.array(*[F.lit(p / 100.0) for p in percentiles])).alias("cuts"), F.count("dist").alias("n"))
     row = cut.first()
     if not row["n"]:
@@ -88,12 +113,23 @@ def subsample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
 
 
-def min_distances(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(side, id, cross, within): for each row of both sets its nearest distance to the other set and to its own."""
-    key = {"on": ("k",)}
-    a, b = a.withColumn("k", F.lit(0)), b.withColumn("k", F.lit(0))
-    side = lambda x, y, name: nearest_distance(x, y, **key).withColumnRenamed("dist", "cross").join(nearest_distance(x, x, exclude_self=True, **key).withColumnRenamed("dist", "within"), "id").select(F.lit(name).alias("side"), "id", "cross", "within")
-    return side(a, b, "a").unionAll(side(b, a, "b"))
+def _pooled(df: DataFrame) -> DataFrame:
+    return df.withColumn("k", F.lit(0))
+
+
+def within_distances(a: DataFrame) -> DataFrame:
+    """(id, dist): each row's nearest distance to another of its own set."""
+    return nearest_distance(_pooled(a), _pooled(a), ("k",), exclude_self=True)
+
+
+def min_distances(a: DataFrame, b: DataFrame, within_b: DataFrame | None = None) -> DataFrame:
+    """(side, id, cross, within): for each row of both sets its nearest distance to the other set and to its own; within_b: b's own, if known."""
+
+    def side(x: DataFrame, y: DataFrame, within: DataFrame, name: str) -> DataFrame:
+        cross = nearest_distance(_pooled(x), _pooled(y), ("k",)).withColumnRenamed("dist", "cross")
+        return cross.join(within.withColumnRenamed("dist", "within"), "id").select(F.lit(name).alias("side"), "id", "cross", "within")
+
+    return side(a, b, within_distances(a), "a").unionAll(side(b, a, within_distances(b) if within_b is None else within_b, "b"))
 
 
 def aa_from_min_distances(distances: DataFrame) -> DataFrame:
@@ -110,7 +146,9 @@ def adversarial_accuracy(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def privacy_loss(train: DataFrame, heldout: DataFrame, synthetic: DataFrame) -> DataFrame:
     """(aa_train_synth, aa_heldout_synth, privacy_loss), all point estimates."""
-    both = adversarial_accuracy(train, synthetic).withColumnRenamed("aa", "aa_train_synth").crossJoin(adversarial_accuracy(heldout, synthetic).withColumnRenamed("aa", "aa_heldout_synth"))
+    own = within_distances(synthetic).persist()  # an id and a number for each row, read twice
+    aa = lambda a, name: aa_from_min_distances(min_distances(a, synthetic, own)).withColumnRenamed("aa", name)
+    both = aa(train, "aa_train_synth").crossJoin(aa(heldout, "aa_heldout_synth"))  # one row each
     return both.withColumn("privacy_loss", F.col("aa_heldout_synth") - F.col("aa_train_synth"))
 
 

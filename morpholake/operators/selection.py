@@ -64,20 +64,24 @@ def check_cohorts(df: DataFrame, mapping: DataFrame, strict: bool = False) -> No
         raise ValueError(f"cohorts without a mapping: {missing}")
 
 
-def mask(df: DataFrame, selected: DataFrame, leading: Sequence[str] = tuple(LEADING)) -> DataFrame:
+def mask(df: DataFrame, selected: DataFrame, leading: Sequence[str] = tuple(LEADING), cohorts: DataFrame | None = None) -> DataFrame:
     """df with the features that a row's cohort does not select set to NULL.
 
-    Rows of a cohort without any selection, or of none, are not masked. The selection has at most a row for each cohort
+    Rows of a cohort without any selection, or of none, are not masked; of cohorts (cohort) without one, all is. The selection has at most a row for each cohort
     and column; it is gathered by cohort and joined (broadcast only if Spark finds it small).
     """
     keep = selected.groupBy("cohort").agg(F.collect_set("csv_column").alias("_keep"))
+    if cohorts is not None:
+        keep = cohorts.select("cohort").distinct().join(keep, "cohort", "left").withColumn("_keep", F.coalesce("_keep", F.array().cast("array<string>")))
     features = [c for c in df.columns if c not in leading]
     joined = df.join(keep, F.col("disease") == F.col("cohort"), "left")
     return joined.select(*[c for c in leading if c in df.columns], *[F.when(F.col("_keep").isNull() | F.array_contains("_keep", c), F.col(c)).alias(c) for c in features])
 
 
-def selection_report(selected: DataFrame) -> DataFrame:
-    """(cohort_name, n_columns_selected, columns_selected), the columns sorted and joined by semicolons."""
+def selection_report(selected: DataFrame, cohorts: DataFrame | None = None) -> DataFrame:
+    """(cohort_name, n_columns_selected, columns_selected), the columns sorted and joined by semicolons; cohorts (cohort): those that are in it in any case."""
+    if cohorts is not None:
+        selected = cohorts.select("cohort").distinct().join(selected.select("cohort", "csv_column"), "cohort", "left")
     return selected.groupBy(F.col("cohort").alias("cohort_name")).agg(F.countDistinct("csv_column").alias("n_columns_selected"), F.array_join(F.array_sort(F.collect_set("csv_column")), ";").alias("columns_selected"))
 
 

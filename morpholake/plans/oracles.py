@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -188,7 +189,40 @@ _CACHED = _values(CACHE, "cache", "query_name, mondo_id, mondo_name, omim_xrefs,
 _EDGES = [float(x) for x in np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(12)])]
 _WEIGHT = " + ".join(f"(u >= {e!r}::DOUBLE)::INTEGER" for e in _EDGES)
 
+
+
+def extraction(cohort: str, keeps: dict[str, str]) -> str:
+    """vec_id, disease and some measurements by cohort: name to the condition under which a row keeps it."""
+    chosen = list(families(DuckGeometry()).values())
+    measured = ", ".join(f"{e} AS {n}" for f in chosen for n, e in f.measured.items())
+    formulas = {n: f.derived.get(n, n) for f in chosen for n in f.order} | {"face_span": "span"}
+    shown = ", ".join(rounded(f"CASE WHEN {when} THEN {formulas[n]} END", n) for n, when in keeps.items())
+    return f"""WITH {LANDMARKS}, {FLAT}, {TURNED}, {_points('turned')},
+me AS MATERIALIZED (SELECT vec_id, disease, bizyg, face_h, midface_h, (canon[455].x - canon[235].x) / bizyg AS span, {measured} FROM pt)
+SELECT vec_id, {cohort} AS disease, {shown} FROM me"""
+
+
+def _report(column: str, rows: str, columns: dict[str, Sequence[str]]) -> str:
+    """Reports of selections: rows gives cohort_name and a key; columns: key to what it selects."""
+    pairs = ", ".join(f"({key}, '{c}')" for key, names in columns.items() for c in names)
+    return f"SELECT cohort_name, {column}count(DISTINCT c) AS n_columns_selected, coalesce(string_agg(DISTINCT c, ';' ORDER BY c), '') AS columns_selected FROM ({rows}) r JOIN (VALUES {pairs}) v(k, c) ON v.k = r.k GROUP BY ALL"
+
+
+def _like(*names: str) -> list[str]:
+    """Measurements of the families that these belong to."""
+    stem = lambda c: re.sub(_SUFFIX, "", c)
+    return [c for c in COLUMNS if stem(c) in {stem(n) for n in names}]
+
+
+_EYES, _LIPS = _like("eye_area_mean", "eye_fissure_length_r"), _like("upper_lip_eversion", "mouth_width")
+_LABELS = "SELECT DISTINCT label::VARCHAR AS cohort_name, unnest(CASE WHEN label % 3 = 0 THEN [label % 2, 2] ELSE [label % 2] END) AS k FROM embeddings WHERE label IS NOT NULL"
+_SPELT = "CASE WHEN vec_id % 2 = 0 THEN 'Noonan syndrome 1' ELSE 'MARFAN' END"
+
 ORACLE_SQL: dict[str, str] = {
+    "custom_extraction": extraction("coalesce(disease, '')", {n: f"disease IS NULL OR disease::BIGINT {rule}" for n, rule in (("eye_area_mean", "% 2 = 0"), ("eye_fissure_length_r", "% 2 = 0"), ("mouth_width", "IS NULL"), ("chin_width", "% 2 = 1"), ("face_span", "% 3 = 0"))}),
+    "custom_extraction_report": _report("", _LABELS, {"0": _EYES, "1": ["chin_width"], "2": ["face_span"]}),
+    "disease_extraction": extraction(_SPELT, {"eye_area_mean": "vec_id % 2 = 1", "eye_fissure_length_r": "vec_id % 2 = 1", "mouth_width": "vec_id % 2 = 0", "chin_width": "FALSE"}),
+    "disease_extraction_report": _report("mondo_id, json_disease_key, ", f"SELECT DISTINCT {_SPELT} AS cohort_name, vec_id % 2 AS k, ['T:0005', 'T:0004'][1 + vec_id % 2] AS mondo_id, ['noonan  syndrome type 2', 'marfan syndrome'][1 + vec_id % 2] AS json_disease_key FROM embeddings", {"0": _LIPS, "1": _EYES}),
     "flagging_table": f"""WITH {_NEAR}, {_CUTS}
 SELECT percentile::INTEGER AS percentile, {rounded('threshold', 'threshold')}, count(*) FILTER (split = 'synthetic' AND dist < threshold) AS synthetic_below,
   count(*) FILTER (split = 'synthetic') AS synthetic_total, round(100.0 * count(*) FILTER (split = 'synthetic' AND dist < threshold) / count(*) FILTER (split = 'synthetic'), 2) AS synthetic_pct,

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morpholake.operators import average, decisions, ontology, phenotypes, pose, privacy, reference, selection
+from morpholake.operators import average, decisions, extraction, ontology, phenotypes, pose, privacy, reference, selection
 from morpholake.operators.features import families, with_features
+from morpholake.operators.plugins import Registry
 from morpholake.plans import fixtures
 from morpholake.plans import oracles as o
 from morpholake.plans.oracles import ORACLE_SQL as ORACLE_SQL
@@ -111,12 +112,12 @@ def bootstrap_summary(spark, sf_dir):
 @_query
 def bootstrap_rows(spark, sf_dir):
     faces = _faces(spark, sf_dir)
-    return privacy.summary(privacy.bootstrap_rows(_split(faces, "train"), _split(faces, "synthetic"), draws=50))
+    return privacy.summary(privacy.bootstrap_rows(_split(faces, "train"), _split(faces, "synthetic"), draws=1000))
 
 
 @_query
 def nnaa_table(spark, sf_dir):
-    return privacy.run_audit(fixtures.embeddings(spark, sf_dir), draws=20)["nnaa"]
+    return privacy.run_audit(fixtures.embeddings(spark, sf_dir), draws=1000)["nnaa"]
 
 
 def _posed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +211,56 @@ def features_all_120(spark, sf_dir):
     return _round(found.select(F.substr("image_id", F.lit(5)).cast("bigint").alias("vec_id"), *names), *names)
 
 
+_SHOWN = ("eye_area_mean", "eye_fissure_length_r", "mouth_width", "chin_width", "face_span")
+
+
+def _span_plugin() -> Registry:
+    plugins = Registry(groups=["eyes"])
+    plugins.register(group="span", columns=["face_span"], native=True)(lambda p, scales: {"face_span": (p(454, "x") - p(234, "x")) / scales["bizyg"]})
+    return plugins
+
+
+def _custom(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Even cohorts keep the group of the eyes, odd ones a column; every third also a plugin's."""
+    records = fixtures.landmarks(spark, sf_dir)
+    cohorts = records.select(F.col("disease").alias("cohort")).where("cohort <> ''").distinct()
+    number = F.col("cohort").cast("bigint")
+    first = F.when(number % 2 == 0, F.struct(F.lit("feature_groups").alias("kind"), F.lit("eyes").alias("item"))).otherwise(F.struct(F.lit("extra_columns").alias("kind"), F.lit("chin_width").alias("item")))
+    third = F.when(number % 3 == 0, F.struct(F.lit("custom_features").alias("kind"), F.lit("span").alias("item")))
+    mapping = cohorts.select("cohort", F.explode(F.array_compact(F.array(first, third))).alias("x")).select("cohort", "x.*")
+    return extraction.extract_custom(records, mapping, _groups(spark), _span_plugin(), fixtures.DEPTH)
+
+
+@_query
+def custom_extraction(spark, sf_dir):
+    table, _ = _custom(spark, sf_dir)
+    return _round(table.select(F.substr("image_id", F.lit(5)).cast("bigint").alias("vec_id"), "disease", *_SHOWN), *_SHOWN)
+
+
+@_query
+def custom_extraction_report(spark, sf_dir):
+    return _custom(spark, sf_dir)[1]
+
+
+def _disease(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cohorts are spellings of two names of the ontology; the mapping's keys are other spellings of both."""
+    spelt = F.when(F.col("vec_id") % 2 == 0, "Noonan syndrome 1").otherwise("MARFAN")
+    mapping = spark.createDataFrame([("marfan syndrome", "eyes"), ("noonan  syndrome type 2", "lips")], "json_key string, item string")
+    return extraction.extract_for_diseases(fixtures.landmarks(spark, sf_dir).withColumn("disease", spelt), mapping, _groups(spark), *_ontology(spark), fixtures.DEPTH)
+
+
+@_query
+def disease_extraction(spark, sf_dir):
+    table, _ = _disease(spark, sf_dir)
+    shown = _SHOWN[:-1]
+    return _round(table.select(F.substr("image_id", F.lit(5)).cast("bigint").alias("vec_id"), "disease", *shown), *shown)
+
+
+@_query
+def disease_extraction_report(spark, sf_dir):
+    return _disease(spark, sf_dir)[1]
+
+
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference.build_reference(fixtures.phenotypes(spark, sf_dir))
 
