@@ -234,7 +234,7 @@ class Shard:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)], ["node", "other", "n", "true"])
+    return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)], ["node", "other", "n", "there"])
 
 
 def near_duplicates(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -283,8 +283,8 @@ def near_duplicates(df: DataFrame, least: float = 0.93, id_col: str = "vec_id",
                     if out:
                         yield _rows(out)
 
-    found = checkpointed(dealt_out.mapInArrow(run, "node bigint, other bigint, n bigint, true bigint"))
-    audit = found.where("true is not null").agg(F.sum("n"), F.sum("true")).first()
+    found = checkpointed(dealt_out.mapInArrow(run, "node bigint, other bigint, n bigint, there bigint"))
+    audit = found.where("there is not null").agg(F.sum("n"), F.sum("there")).first()
     recall = F.lit(audit[0] / audit[1] if audit[1] else None).cast("double")
     united = components(found.where("other is not null"), "node", "other").withColumnRenamed("node", "u")
     linked = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("n")).select(F.col("node").alias("w"), "n")
