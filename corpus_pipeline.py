@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from morpholake.llm import packing, pii, simhash, toxicity
+from morpholake.llm.blocks import shared_folder
 
 #: No SQL expresses the hashes, the tokenizer or the fitted model; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -47,8 +48,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents; what is between them lies in the checkpoint folder, or the warehouse where that is unset."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/corpus_pipeline-{uuid.uuid4().hex}"
+    """Applies all stages to the documents; what is between them stays in the folder that the cluster shares (spark.checkpoint.dir)."""
+    folder = f"{shared_folder(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{number}-{name}"
