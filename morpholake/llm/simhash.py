@@ -16,7 +16,7 @@ for certain; the number of splits is such that of pairs at NEAR bits one in 500
 logarithm of the number of fingerprints, so that unlike ones rarely meet. What meets is compared by Hamming distance,
 and what is within FAR bits by its shingles. A block that more than MEET fingerprints share is not joined with itself:
 all texts of such blocks are compared by a second pigeonhole, which is exact. Of two texts that share 0.8, each has one
-of the other's rarest fifth of shingles; texts that meet there are compared with the most central one first, and after
+of the other's rarest fifth of shingles, by counts of hashes that are sent to all tasks; texts that meet there are compared with the most central one first, and after
 that only with those that are not yet in its component.
 
 Cases: a null text is empty; a text without words
@@ -45,6 +45,8 @@ BUCKET = 32
 #: not looked at, of all and of the first word; fingerprints that share a block and are compared pair by pair, at most.
 LANES, NEAR, FAR, FAR_FIRST, MEET, MISSED = 4, 40, 60, 21, 16, 0.002
 SHINGLE, SHARE = 5, 0.8
+#: Of dense texts: bits of a shingle's hash that name the slot in which it is counted.
+SLOT_BITS = 20
 # Fixed values of the XXH64 hash.
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -280,21 +282,54 @@ def _pairs(one: str, two: str) -> list[Column]:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
+def _levels(sets: DataFrame) -> np.ndarray:
+    """For each slot of SLOT_BITS bits of hash, 1024 times the binary logarithm of the number of shingles there, repeats in other sets included; 0 for one or none."""
+    slot = F.shiftrightunsigned("shingle", 64 - SLOT_BITS).cast("int").alias("slot")
+    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy(slot).count().where("count > 1")
+    found = counted.select("slot", F.least(F.round(1024 * F.log2("count")), F.lit(32767)).cast("smallint").alias("level")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, dtype=np.int16)
+    out[found["slot"].to_numpy()] = found["level"].to_numpy()
+    return out
+
+
+def _first_shingles(sets: DataFrame, share: float) -> DataFrame:
+    """(same, n, central, left, shingle): of each of sets the first shingles that a near copy must have one of, but those that no other has.
+
+    They are ordered by _levels, then by value. Any order that is the same for all sets finds the same links; one by
+    rarity finds them from fewer meetings. left: the shingles from this one on; central: the set's mean level.
+    """
+    levels = sets.sparkSession.sparkContext.broadcast(_levels(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 256):
+                batch = whole.slice(i, 256)
+                n, value = batch.column(1).value_lengths().to_numpy().astype(np.int64), batch.column(1).flatten().to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                level = levels.value[value.view(U64) >> U64(64 - SLOT_BITS)]
+                central = np.bincount(row, level, len(n)) / np.maximum(n, 1)
+                order, rank = np.lexsort((value, level, row)), ragged(n)
+                first = n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+                on = (rank < first[row]) & (level[order] > 0)
+                row, left = row[on], (n[row] - rank)[on]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(n[row], pa.int32()), pa.array(central[row]), pa.array(left, pa.int32()), pa.array(value[order][on])], ["same", "n", "central", "left", "shingle"])
+            given_back()
+
+    met = checkpointed(sets.select("same", "shingles").mapInArrow(run, "same bigint, n int, central double, left int, shingle bigint"))
+    levels.destroy()
+    return met
+
+
 def dense_links(sets: DataFrame, share: float) -> DataFrame:
     """Links (a, b) that unite all of sets (same, shingles) that are near copies of each other, none other.
 
-    Shingles are ordered by the number of texts that have them. A near copy of a text with n shingles has one of the first
+    Shingles are ordered by how many texts have them (see _levels). A near copy of a text with n shingles has one of the first
     n - ceil(share * n) + 1 of them, and that text one of its first; and from the first one they share on, both have as
     many shingles left as the pair must have in common. Where texts meet at such a shingle, each is first
     compared with the most central one it meets: that whose shingles most texts have; then with the most central one of
     another component; then pairs of different components are compared.
     """
-    each = sets.select("same", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("often")).select(loose(F.col("shingle")).alias("of"), "often")
-    ranked = each.join(often.hint("merge"), F.col("shingle") == F.col("of")).groupBy("same", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ranked"), F.avg("often").alias("central"))
-    first = F.slice("ranked", 1, F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9).cast("int") + 1)
-    placed = F.transform(first, lambda x, i: F.struct(x["often"].alias("often"), x["shingle"].alias("shingle"), (F.col("n") - i).alias("left")))
-    met = checkpointed(ranked.select("same", "n", "central", F.explode(F.filter(placed, lambda x: x["often"] > 1)).alias("x")).select("same", "n", "central", "x.left", "x.shingle"))
+    met = _first_shingles(sets, share)
     links, tried = None, None
     for again in (False, True):
         if again:

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from morpholake.llm import simhash
+from morpholake.llm import graph, simhash
 
 
 def shingles(text):
@@ -62,6 +63,59 @@ def test_many_near_copies_of_one_text(spark, monkeypatch, meet):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == survivors(texts)
 
 
+def most_joined(spark, since):
+    """The most rows that a join of the queries from number since on made."""
+    store, listed = spark._jsparkSession.sharedState().statusStore(), spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    most = 0
+    for query in listed(store.executionsList()):
+        if query.executionId() >= since:
+            values = store.executionMetrics(query.executionId())
+            for node in listed(store.planGraph(query.executionId()).allNodes()):
+                rows = [values.get(m.accumulatorId()) for m in listed(node.metrics()) if "Join" in node.name() and m.name() == "number of output rows"]
+                most = max(most, *(int(v.get().replace(",", "")) for v in rows if v.isDefined()), 0)
+    return most
+
+
+def test_no_join_of_all_shingles(spark):
+    """Near copies of one text: no join makes as many rows as their shingles, and not more than in proportion to the group."""
+    rng = np.random.default_rng(10)
+    base, made = [f"w{x}" for x in range(200)], []
+    for group in (60, 120):
+        texts = [" ".join(base)]
+        for n in range(group):
+            copy = list(base)
+            for i in rng.integers(0, 200, 2):
+                copy[i] = f"edited{n}"
+            texts.append(" ".join(copy))
+        df = spark.createDataFrame(list(enumerate(texts)), "same long, text string")
+        each = df.select("same", F.transform(F.sequence(F.lit(0), F.lit(195)), lambda i: F.xxhash64(F.slice(F.split("text", " "), i + 1, F.lit(5)))).alias("shingles")).localCheckpoint()
+        since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+        found = graph.components(simhash.dense_links(each, 0.8))
+        assert {r["component"] for r in found.collect()} == {0} and found.count() == group + 1
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        made.append(most_joined(spark, since))
+        assert 0 < made[-1] < (group + 1) * 196 / 4
+    assert made[1] < 3 * made[0]
+
+
+@pytest.mark.parametrize("bits", [1, simhash.SLOT_BITS])
+def test_any_order_of_shingles(spark, monkeypatch, bits):
+    """Counts of few slots, which hardly tell rare shingles from others, lead to the same survivors."""
+    monkeypatch.setattr(simhash, "SLOT_BITS", bits)
+    monkeypatch.setattr(simhash, "MEET", 2)
+    rng = np.random.default_rng(11)
+    line, texts = [f"line{x}" for x in range(12)], []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 60)] + line
+        for edits in (0, 1, 1, 2, 3):
+            copy = list(base)
+            for i in rng.integers(0, len(copy), edits):
+                copy[i] = "edited"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == survivors(texts)
+
+
 def test_rows_of_one_id(spark, docs, no_docs):
     """Survivors are chosen by row: an id's other text stays, a row that is there twice stays once, rows without an id stay."""
     a, b = "one two three four five six seven", "quite another text than that of the first row"
