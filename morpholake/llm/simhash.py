@@ -45,8 +45,8 @@ BUCKET = 32
 #: not looked at, of all and of the first word; fingerprints that share a block and are compared pair by pair, at most.
 LANES, NEAR, FAR, FAR_FIRST, MEET, MISSED = 4, 40, 60, 21, 16, 0.002
 SHINGLE, SHARE = 5, 0.8
-#: Of dense texts: bits of a shingle's hash that name the slot in which it is counted.
-SLOT_BITS = 20
+#: Of dense texts: bits of a shingle's hash that name the slot in which it is counted; words of 64 parities of a text.
+SLOT_BITS, PARITIES = 20, 8
 # Fixed values of the XXH64 hash.
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -175,6 +175,7 @@ def _same(s: np.ndarray) -> int:
 
 
 _LANES = [f"f{i}" for i in range(LANES)]
+_PARITIES = [f"p{i}" for i in range(PARITIES)]
 
 
 def _described(texts: DataFrame, shingle: int) -> DataFrame:
@@ -293,10 +294,12 @@ def _levels(sets: DataFrame) -> np.ndarray:
 
 
 def _first_shingles(sets: DataFrame, share: float) -> DataFrame:
-    """(same, n, central, left, shingle): of each of sets the first shingles that a near copy must have one of, but those that no other has.
+    """(same, n, central, left, shingle, p0, ..): of each of sets the first shingles that a near copy must have one of, but those that no other has.
 
     They are ordered by _levels, then by value. Any order that is the same for all sets finds the same links; one by
-    rarity finds them from fewer meetings. left: the shingles from this one on; central: the set's mean level.
+    rarity finds them from fewer meetings. left: the shingles from this one on; central: the set's mean level;
+    p0, ..: whether the number of the set's shingles is odd, for each low end of hashes: sets differ in as many shingles
+    as in parities, or more.
     """
     levels = sets.sparkSession.sparkContext.broadcast(_levels(sets))
 
@@ -311,11 +314,14 @@ def _first_shingles(sets: DataFrame, share: float) -> DataFrame:
                 order, rank = np.lexsort((value, level, row)), ragged(n)
                 first = n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
                 on = (rank < first[row]) & (level[order] > 0)
+                odd = np.bincount(row * 64 * PARITIES + value % (64 * PARITIES), minlength=64 * PARITIES * len(n)) % 2
+                odd = np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(len(n), PARITIES)
                 row, left = row[on], (n[row] - rank)[on]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(n[row], pa.int32()), pa.array(central[row]), pa.array(left, pa.int32()), pa.array(value[order][on])], ["same", "n", "central", "left", "shingle"])
+                columns = {"same": batch.column(0).take(pa.array(row)), "n": pa.array(n[row], pa.int32()), "central": pa.array(central[row]), "left": pa.array(left, pa.int32()), "shingle": pa.array(value[order][on])}
+                yield pa.RecordBatch.from_pydict(columns | {name: pa.array(odd[row, k]) for k, name in enumerate(_PARITIES)})
             given_back()
 
-    met = checkpointed(sets.select("same", "shingles").mapInArrow(run, "same bigint, n int, central double, left int, shingle bigint"))
+    met = checkpointed(sets.select("same", "shingles").mapInArrow(run, "same bigint, n int, central double, left int, shingle bigint, " + ", ".join(f"{name} bigint" for name in _PARITIES)))
     levels.destroy()
     return met
 
@@ -327,7 +333,7 @@ def dense_links(sets: DataFrame, share: float) -> DataFrame:
     n - ceil(share * n) + 1 of them, and that text one of its first; and from the first one they share on, both have as
     many shingles left as the pair must have in common. Where texts meet at such a shingle, each is first
     compared with the most central one it meets: that whose shingles most texts have; then with the most central one of
-    another component; then pairs of different components are compared.
+    another component; then pairs of different components are compared that do not differ in too many parities.
     """
     met = _first_shingles(sets, share)
     links, tried = None, None
@@ -351,11 +357,13 @@ def dense_links(sets: DataFrame, share: float) -> DataFrame:
         close = _alike(new, sets, share)
         links = close if links is None else links.unionAll(close)
     found = components(links).select(loose(F.col("node")).alias("linked"), "component")
-    placed = met.join(found.hint("merge"), F.col("same") == F.col("linked"), "left").select("shingle", "same", "n", "left", F.coalesce("component", "same").alias("c"))
+    placed = met.join(found.hint("merge"), F.col("same") == F.col("linked"), "left").select("shingle", "same", "n", "left", *_PARITIES, F.coalesce("component", "same").alias("c"))
     mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select(loose(F.col("shingle")).alias("open"))
     one = checkpointed(placed.join(mixed.hint("merge"), F.col("shingle") == F.col("open"), "left_semi"))
     two = one.select(*[F.col(c).alias(f"{c}_") for c in one.columns])
     like = F.least("left", "left_") >= F.lit(share / (1 + share)) * (F.col("n") + F.col("n_")) - 1e-9
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_"))) for p in _PARITIES), F.lit(0))
+    like &= apart <= F.lit((1 - share) / (1 + share)) * (F.col("n") + F.col("n_")) + 1e-6
     rest = one.join(two, (F.col("shingle") == F.col("shingle_")) & (F.col("same") < F.col("same_")) & (F.col("c") != F.col("c_")) & like).select(*_pairs("same", "same_")).distinct()
     return links.unionAll(_alike(checkpointed(rest.join(tried, ["a", "b"], "left_anti")), sets, share))
 

@@ -98,6 +98,24 @@ def test_no_join_of_all_shingles(spark):
     assert made[1] < 3 * made[0]
 
 
+def test_no_join_of_texts_too_unlike(spark):
+    """A group whose texts share two thirds with each other: the join of different components makes few of all pairs, and the links are those of brute force."""
+    rng, texts = np.random.default_rng(12), []
+    base = [f"w{x}" for x in range(150)]
+    for n in range(160):
+        copy = list(base)
+        for i in rng.integers(0, 150, 3):
+            copy[i] = f"edited{n}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "same long, text string")
+    each = df.select("same", F.transform(F.sequence(F.lit(0), F.lit(145)), lambda i: F.xxhash64(F.slice(F.split("text", " "), i + 1, F.lit(5)))).alias("shingles")).localCheckpoint()
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    found = {r["node"]: r["component"] for r in graph.components(simhash.dense_links(each, 0.8)).collect()}
+    assert [i for i in range(160) if found.get(i, i) == i] == survivors(texts)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert most_joined(spark, since) < 160 * 159 / 2 / 4
+
+
 @pytest.mark.parametrize("bits", [1, simhash.SLOT_BITS])
 def test_any_order_of_shingles(spark, monkeypatch, bits):
     """Counts of few slots, which hardly tell rare shingles from others, lead to the same survivors."""
